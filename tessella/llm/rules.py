@@ -17,76 +17,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import written
+
 #: Characters that separate words, and symbols that count.
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: A rule rejects a row whose ratio is above the cutoff. Grid from lenient to strict.
-RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "long_words")
+RULES = ("symbol_ratio", "shout_ratio", "dup_line_ratio", "repeat_ratio", "long_words")
 GRIDS = {
     "symbol_ratio": (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "shout_ratio": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1),
     "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.1),
     "repeat_ratio": (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
     "long_words": (40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0),
 }
 
 
-def _occurrences(t: Column, chars: str) -> Column:
-    rest = t
-    for c in chars:
-        rest = F.replace(rest, F.lit(c), F.lit(""))
-    return F.length(t) - F.length(rest)
+def _let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often `use` names it and wherever the optimizer moves the result."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Up to this many different repeated windows, their starts are looked up in a list; beyond it, by sorting.
+LISTED = 24
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that are found twice or more: sort (hash, start), keep starts beside an equal hash, and measure their union."""
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")),
+    """Words inside 3-word windows that are found twice or more.
+
+    Window hashes are sorted, equal neighbours name the repeated ones, and the union of their windows is measured. A text
+    without any is done after a hash set; with few, a short list tells the starts; with many, (hash, start) pairs are sorted.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    repeated = lambda h: _let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1))))
+    listed = lambda h, d: F.filter(F.transform(h, lambda x, k: F.when(F.array_contains(d, x), k)), lambda k: k.isNotNull())
+    pairs = lambda h: F.array_sort(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("i"))))
+    beside = lambda s: F.array_sort(
+        F.transform(F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.get(s, k + 1)["h"] == x["h"])), lambda x: x["i"])
     )
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(
-        F.aggregate(
-            F.array(F.array_sort(starts)),
-            F.lit(0).cast("long"),
-            lambda _, s: F.aggregate(
-                F.array_sort(
-                    F.transform(
-                        F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.get(s, k + 1)["h"] == x["h"])),
-                        lambda x: x["i"],
-                    )
-                ),
-                F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
-                lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
-                lambda a: a["n"],
-            ),
-        )
+    union = lambda starts: F.aggregate(
+        starts,
+        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
+        lambda a: a["n"],
     )
+    some = lambda h: _let(repeated(h), lambda d: F.when(F.size(d) <= LISTED, union(listed(h, d))).otherwise(_let(pairs(h), lambda s: union(beside(s)))))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(some(h))))
 
 
-def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; existing columns of these names are replaced."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def statistics(text: Column) -> Column:
+    """A struct of the base statistics of one text."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    words = F.col("__words")
-    return (
-        docs.withColumn("__words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-        .withColumns(
-            {
-                "n_words": F.size(words).cast("long"),
-                "word_chars": (F.length(t) - _occurrences(t, " \t\n\x0b\f\r")).cast("long"),
-                "n_symbols": _occurrences(t, SYMBOLS).cast("long"),
-                "n_dup_lines": F.aggregate(F.array(lines), F.lit(0), lambda _, x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-                "n_repeat_words": _repeat_words(words).cast("long"),
-            }
-        )
-        .drop("__words")
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    by_word = _let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeat_words(w).alias("r")))
+    by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    return _let(
+        F.struct(by_word.alias("w"), by_line.alias("l"), F.regexp_count(t, F.lit(SYMBOLS)).alias("s"), F.regexp_count(t, F.lit("[!?]")).alias("e")),
+        lambda x: F.struct(
+            x["w"]["n"].cast("long").alias("n_words"),
+            x["w"]["c"].cast("long").alias("word_chars"),
+            x["s"].cast("long").alias("n_symbols"),
+            (x["l"]["n"] - x["l"]["d"]).cast("long").alias("n_dup_lines"),
+            x["w"]["r"].cast("long").alias("n_repeat_words"),
+            x["l"]["n"].cast("long").alias("n_lines"),
+            x["e"].cast("long").alias("n_shouts"),
+            ((x["w"]["n"] < 50) | (100 * x["w"]["r"].cast("long") > 50 * x["w"]["n"])).alias("base_failed"),
+        ),
     )
 
 
+#: The columns that annotate() adds.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "base_failed")
+
+
+def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with STATISTICS; existing columns of these names are replaced."""
+    keep = [c for c in docs.columns if c not in STATISTICS]
+    return docs.select(*keep, statistics(F.col(text)).alias("__stats")).select(*keep, "__stats.*")
+
+
 def ratios() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     return {
         "symbol_ratio": F.col("n_symbols") / n,
+        "shout_ratio": F.col("n_shouts") / n,
         "dup_line_ratio": F.col("n_dup_lines") * 1.0 / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / n,
         "long_words": F.col("word_chars") / n,
@@ -119,8 +133,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str | None = "lang", k
     good = labels.where(F.col(quality).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.avg(F.col(quality).cast("double")) > 0.5).alias("good"))
     by = F.col(stratum).cast("string") if stratum else F.lit("all")
     rows = (
-        stats.where(~F.col("base_failed"))
-        .select(F.col(key).alias("__key"), by.alias("stratum"), *[c.alias(r) for r, c in ratios().items()])
+        stats.select("base_failed", F.col(key).alias("__key"), by.alias("stratum"), *[c.alias(r) for r, c in ratios().items()])
         .join(good, "__key")
     )
     grid = F.array(
@@ -130,13 +143,13 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str | None = "lang", k
             for k, c in enumerate(GRIDS[r])
         ]
     )
-    cells = (
-        rows.select("stratum", "good", F.explode(grid).alias("g"))
+    cells = written(
+        rows.select("base_failed", "stratum", "good", F.explode(grid).alias("g"))  # a filter here would compute the statistics twice
         .groupBy("stratum", "g.rule", "g.step", "g.cutoff")
         .agg(
-            F.count_if("good").alias("n"),
-            F.count_if(F.col("good") & F.col("g.out")).alias("lost"),
-            F.count_if(~F.col("good") & F.col("g.out")).alias("caught"),
+            F.count_if(F.col("good") & ~F.col("base_failed")).alias("n"),
+            F.count_if(F.col("good") & ~F.col("base_failed") & F.col("g.out")).alias("lost"),
+            F.count_if(~F.col("good") & ~F.col("base_failed") & F.col("g.out")).alias("caught"),
         )
     )
     strata = cells.select(F.count_distinct("stratum").alias("n_strata"))
@@ -159,13 +172,12 @@ BROADCAST_STRATA = 10_000
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """docs (all columns) with the statistics, base_failed and kept."""
-    from tessella.llm.common import shared_folder, written
-
-    n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    full = annotate(docs, text).withColumn("n_lines", n_lines)
-    ids = labels.where(F.col(quality_name(labels)).isNotNull()).select(F.col(key).alias("__id")).distinct()
-    labelled = annotate(docs.join(ids, docs[key] == ids["__id"], "left_semi").select(key, text, *([stratum] if stratum and stratum not in (key, text) else [])), text).withColumn("n_lines", n_lines)
-    cut = written(cutoffs(labelled, labels, stratum, key, quality_name(labels), risk, delta), shared_folder(docs.sparkSession))
+    quality = quality_name(labels)
+    full = annotate(docs, text)
+    ids = labels.where(F.col(quality).isNotNull()).select(F.col(key).alias("__id")).distinct()
+    labelled = docs.join(ids, docs[key] == ids["__id"], "left_semi")
+    labelled = annotate(labelled.select(*dict.fromkeys([key, text, *([stratum] if stratum else [])])), text)
+    cut = written(cutoffs(labelled, labels, stratum, key, quality, risk, delta))
     by = F.col(stratum).cast("string") if stratum else F.lit("all")
     small = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     cut = F.broadcast(cut) if small else cut
@@ -173,7 +185,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key:
     for r, ratio in ratios().items():
         verdict = verdict | F.coalesce(ratio > F.col(f"cut_{r}"), F.lit(False))
     joined = full.withColumn("__stratum", by).join(cut.withColumnRenamed("stratum", "__cut"), F.col("__stratum").eqNullSafe(F.col("__cut")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~verdict).drop("__stratum", "__cut", *[f"cut_{r}" for r in RULES])
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~verdict)).drop("__stratum", "__cut", *[f"cut_{r}" for r in RULES])
 
 
 def quality_name(labels: DataFrame) -> str:
