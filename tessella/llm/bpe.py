@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tessella.llm.common import MEMO_ENTRIES, bounded_batches, texts_of
@@ -30,9 +32,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-#: Marks after which a word's letters end for sure, and rarer white space of the split.
+#: Marks after which a word's letters end for sure, and white space but for spaces and newlines.
 TAIL = "!#$%&*+,-./:;<=>?@|"
-BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85"
+ODD_BLANKS = re.compile(r"[^\S \n]")
 
 
 class Memo(dict):
@@ -99,6 +101,53 @@ class Steps(dict):
         return after
 
 
+#: Base of the rolling hash over bytes, and its powers.
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+HASH_POWERS = np.cumprod(np.array([1] + [int(HASH_BASE)] * 64, np.uint64), dtype=np.uint64)
+
+
+class TokenTable:
+    """Token of a rolling hash: a direct-mapped numpy table, and a sorted list for those that met in a slot."""
+
+    BITS = 20
+
+    def __init__(self, tokens: dict[bytes, int]):
+        short = {b: i for b, i in tokens.items() if len(b) <= 25}
+        self.longest = max(map(len, short))
+        keys = np.array([self.of(b) for b in short], np.uint64)
+        ids = np.array(list(short.values()), np.int64)
+        self.keys, self.ids = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        slot = self.slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.keys[slot[first]], self.ids[slot[first]] = keys[first], ids[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more_keys, self.more_ids = np.append(keys[rest], ~np.uint64(0)), np.append(ids[rest], -1)
+        self.shared = np.zeros(1 << self.BITS, bool)
+        self.shared[slot[rest]] = True
+
+    @staticmethod
+    def of(data: bytes) -> int:
+        h = 0
+        for b in data:
+            h = (h * int(HASH_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
+        return h ^ len(data)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, length: int) -> np.ndarray:
+        """Ids of the tokens of these hashes and this length, or -1."""
+        keys = hashes ^ np.uint64(length)
+        slot = self.slot(keys)
+        out = np.where(self.keys[slot] == keys, self.ids[slot], -1).astype(np.int64)
+        again = np.flatnonzero((out < 0) & self.shared[slot])
+        if len(again):
+            at = np.searchsorted(self.more_keys, keys[again])
+            out[again] = np.where(self.more_keys[at] == keys[again], self.more_ids[at], -1)
+        return out
+
+
 class ByteBPE:
     """Encoder and decoder for a byte-level BPE file."""
 
@@ -128,9 +177,14 @@ class ByteBPE:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.blanks = regex.compile(r"\s*\S+|\s+")
         self.pairs: dict[int, bool] = {}
-        self.prefixes: dict[bytes, tuple[int, int]] = {}
+        self.forget()
         self.chunks = Memo(self.chunk)
-        self.words = Memo(lambda word: self.chunk(" " + word))
+        self.words = Memo(self.word)
+        self.table = TokenTable({b: i for b, i in self.ids.items() if i in self.tokens.size})
+        self.sizes = np.zeros(max(self.bytes_of) + 2, np.int64)
+        for i, n in self.tokens.size.items():
+            self.sizes[i] = n
+        self.pair_keys, self.pair_fits = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
 
     def reachable(self, token: int) -> bool:
         """Whether the merges give this token for its own bytes: its two parts are compatible up to its own merge."""
@@ -173,79 +227,179 @@ class ByteBPE:
             known = self.pairs[key] = self._first_crossing(left, right) == len(self.rank)
         return known
 
+    def last_token(self, state: int, end: int, last_at) -> int:
+        """The one token that can be last for the prefix of `end` bytes; last_at(i) is that of the prefix of i bytes."""
+        pairs = self.pairs
+        for length, token in self.tokens.matches[state]:
+            if length == end:
+                return token
+            before = last_at(end - length)
+            if before >= 0:
+                fits = pairs.get(before << 32 | token)
+                if fits if fits is not None else self.compatible(before, token):
+                    return token
+        return -1
+
     def piece(self, data: bytes) -> list[int]:
-        """Ids of one piece of the split: a row per prefix, (automaton state, last token), then the back-pointers."""
-        n, known, tokens = len(data), self.prefixes, self.tokens
-        short = n <= 48  # prefixes of short pieces are remembered, since words share them
-        begin = n
-        if short:
-            while begin and data[:begin] not in known:
-                begin -= 1
+        """Ids of one piece of the split: a row (automaton state, last token) per prefix, then the back-pointers.
+
+        Rows of short pieces live in a trie, since words share prefixes; a long piece has its own.
+        """
+        n, step, size, out = len(data), self.tokens.step, self.tokens.size, []
+        if n > 48:
+            last, state = [-1] * (n + 1), 0
+            for end in range(1, n + 1):
+                state = step[state, data[end - 1]]
+                last[end] = self.last_token(state, end, last.__getitem__)
+            while n:
+                out.append(last[n])
+                n -= size[last[n]]
         else:
-            begin = 0
-        last = [-1] * (n + 1)
-        for i in range(1, begin + 1):
-            row = known.get(data[:i])
-            if row is None:  # emptied in between
-                begin = i - 1
-                break
-            last[i] = row[1]
-        state = known[data[:begin]][0] if begin else 0
-        step, compatible, pairs = tokens.step, self.compatible, self.pairs
-        for end in range(begin + 1, n + 1):
-            state = step[state, data[end - 1]]
-            for length, token in tokens.matches[state]:
-                before = last[end - length]
-                if end == length:
-                    last[end] = token
-                    break
-                if before >= 0:
-                    fits = pairs.get(before << 32 | token)
-                    if fits is None:
-                        fits = compatible(before, token)
-                    if fits:
-                        last[end] = token
-                        break
-            if short:
-                known[data[:end]] = state, last[end]
-        if len(known) > MEMO_ENTRIES:
-            known.clear()
-        out, size = [], tokens.size
-        while n:
-            out.append(last[n])
-            n -= size[last[n]]
+            if len(self.states) > MEMO_ENTRIES:
+                self.forget()
+            child, last, node, path = self.child, self.last, 0, [0]
+            for end, byte in enumerate(data, 1):
+                key = node << 8 | byte
+                node = child.get(key, 0)
+                if not node:
+                    state = step[self.states[path[-1]], byte]
+                    node = child[key] = len(last)
+                    last.append(self.last_token(state, end, lambda i: last[path[i]]))
+                    self.states.append(state)
+                path.append(node)
+            while n:
+                token = last[path[n]]
+                out.append(token)
+                n -= size[token]
         out.reverse()
         return out
 
+    def forget(self) -> None:
+        """Start the trie anew."""
+        self.child: dict[int, int] = {}
+        self.states, self.last = [0], [-1]
+
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a run of white space and the run of other characters after it; the split never joins over its ends."""
         body = text[1:] if text[:1] == " " else text
         stem = body.rstrip(TAIL)
-        if stem.isalpha() and stem.isascii():  # one run of letters, then one of marks
-            out = self.piece(text[: len(text) - len(body) + len(stem)].encode())
-            return tuple(out + self.piece(body[len(stem) :].encode()) if len(stem) < len(body) else out)
+        if stem.isalpha() and max(stem) < "\u0250":  # one run of letters, then one of marks
+            ids = tuple(self.piece(text[: len(text) - len(body) + len(stem)].encode()))
+            return ids + self.chunks[body[len(stem) :]] if len(stem) < len(body) else ids
         return tuple(chain.from_iterable(self.piece(p.encode()) for p in self.split.findall(text)))
 
-    def _plain(self, text: str) -> list[tuple[int, ...]]:
-        if "  " not in text and text.isascii() and not any(c in text for c in BLANKS):  # cut before every space and newline
-            out: list[tuple[int, ...]] = []
-            for k, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                if "" in words and (k or len(words) > 1):
-                    break
-                out.append(self.chunks["\n" + words[0]] if k else self.chunks[words[0]] if words[0] else ())
-                out += map(self.words.__getitem__, words[1:])
+    def keys(self, text: str) -> list[str] | None:
+        """The chunks of a text, named by what follows their space or newline; None if it needs the general split."""
+        if "  " in text or ODD_BLANKS.search(text):
+            return None
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if "" in words and (k or len(words) > 1):
+                return None
+            if k:
+                words[0] = "\n" + words[0]
+            elif words[0]:
+                words[0] = "\0" + words[0]
             else:
-                return out
-        return list(map(self.chunks.__getitem__, self.blanks.findall(text)))
+                continue
+            out += words
+        return out
+
+    def word(self, key: str) -> tuple[int, ...]:
+        """Ids of a chunk as keys() names it: the first of a text and those after a newline are marked, the rest follow a space."""
+        return self.chunk(key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key)
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of many words at once: letters with marks behind go through the rows of the dynamic programme together."""
+        plain: dict[bytes, None] = {}
+        parts: list[tuple[str, bytes, str]] = []
+        for w in words:
+            stem = w.rstrip(TAIL)
+            if len(w) <= 24 and stem.isalpha() and max(stem) < "\u0250":
+                data = b" " + stem.encode()
+                plain[data] = None
+                parts.append((w, data, w[len(stem) :]))
+        ids = dict(zip(plain, self.pieces_of(list(plain)), strict=True))
+        memo, chunks = self.words, self.chunks
+        for w, data, tail in parts:
+            memo[w] = ids[data] + chunks[tail] if tail else ids[data]
+
+    def pieces_of(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """piece() of many short pieces: one numpy step per prefix length and token length."""
+        if not pieces:
+            return []
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        sizes = np.array([len(pieces[i]) for i in order])
+        width = int(sizes[0])
+        data = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
+        prefix = np.zeros((width + 1, len(order)), np.uint64)
+        last = np.full((width + 1, len(order)), -1, np.int64)
+        for end in range(1, width + 1):
+            n = int(np.searchsorted(-sizes, -end, side="right"))  # pieces at least this long
+            prefix[end, :n] = prefix[end - 1, :n] * HASH_BASE + (data[:n, end - 1].astype(np.uint64) + np.uint64(1))
+            open_rows = np.arange(n)
+            for length in sorted(range(1, min(end, self.table.longest) + 1), key=lambda x: abs(x - 3)):  # any order: there is one
+                tokens = self.table.find(prefix[end, open_rows] - prefix[end - length, open_rows] * HASH_POWERS[length], length)
+                hit = np.flatnonzero(tokens >= 0)
+                if not len(hit):
+                    continue
+                rows, tokens = open_rows[hit], tokens[hit]
+                if length < end:
+                    before = last[end - length, rows]
+                    fits = (before >= 0) & self.fitting(np.maximum(before, 0), tokens)
+                    rows, tokens = rows[fits], tokens[fits]
+                last[end, rows] = tokens
+                open_rows = open_rows[last[end, open_rows] < 0]
+                if not len(open_rows):
+                    break
+        at, columns, lines = sizes.copy(), [], np.arange(len(order))
+        while at.any():
+            token = np.where(at > 0, last[at, lines], -1)
+            columns.append(token)
+            at -= np.where(at > 0, self.sizes[token], 0)
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        for i, row in zip(order, np.stack(columns[::-1], 1).tolist(), strict=True):
+            out[i] = tuple(t for t in row if t >= 0)
+        return out
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """compatible() of many pairs, over a direct-mapped cache."""
+        key = left << 17 | right
+        slot = (key * 0x9E3779B1 >> 7) & (len(self.pair_keys) - 1)
+        strange = np.flatnonzero(self.pair_keys[slot] != key)
+        out = self.pair_fits[slot]
+        if len(strange):
+            unknown, back = np.unique(key[strange], return_inverse=True)
+            known = np.array([self.compatible(k >> 17, k & 0x1FFFF) for k in unknown.tolist()], bool)
+            out[strange] = known[back]
+            self.pair_keys[slot[strange]], self.pair_fits[slot[strange]] = key[strange], known[back]
+            # two new keys of one slot: the last write holds for both arrays, since it is the same index order
+        return out
+
+    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        """encode() of each text, after learning the words of all of them."""
+        special = lambda t: self.special_split is not None and any(s in t for s in self.specials)
+        keys = [None if special(t) else self.keys(t) for t in texts]
+        new: set[str] = set()
+        for k in keys:
+            if k is not None:
+                new.update([w for w in k if w not in self.words])
+        if len(self.words) + len(new) > MEMO_ENTRIES:
+            self.words.clear()
+        self.learn(new)
+        for t, k in zip(texts, keys, strict=True):
+            yield self.encode(t) if k is None else list(chain.from_iterable(map(self.words.__getitem__, k)))
 
     def encode(self, text: str) -> list[int]:
+        general = lambda t: chain.from_iterable(map(self.chunks.__getitem__, self.blanks.findall(t)))
         if self.special_split is not None and any(s in text for s in self.specials):
             out: list[int] = []
             for k, part in enumerate(self.special_split.split(text)):
-                out += [self.specials[part]] if k % 2 else chain.from_iterable(self._plain(part))
+                out += [self.specials[part]] if k % 2 else general(part)
             return out
-        return list(chain.from_iterable(self._plain(text)))
+        keys = self.keys(text)
+        return list(general(text) if keys is None else chain.from_iterable(map(self.words.__getitem__, keys)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -263,8 +417,7 @@ def _digests(path: str):
         bpe = tokenizer(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in texts_of(b):
-                ids = bpe.encode(t.decode())
+            for ids in bpe.encode_many([t.decode() for t in texts_of(b)]):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
@@ -292,7 +445,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
 
         bpe = tokenizer(path)
         for b in batches:
-            got = pa.array([bpe.encode(t.decode()) for t in texts_of(b, text)], pa.list_(pa.int32()))
+            got = pa.array(list(bpe.encode_many([t.decode() for t in texts_of(b, text)])), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], got], names=[*keep, ids])
 
     return docs.mapInArrow(run, schema)

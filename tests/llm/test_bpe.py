@@ -22,7 +22,9 @@ def test_ids_equal_the_library(library):
     mixes = ["".join(rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(3000)]
     mixes += ["".join(rnd.choices("aehinorst ,.\n'", k=rnd.randint(1, 60))) for _ in range(3000)]
     mixes += ["".join(rnd.choices("ab", k=rnd.randint(1, 60))) for _ in range(300)]
-    for t in [t or "" for t in TEXTS] + mixes:
+    all_texts = [t or "" for t in TEXTS] + mixes
+    for t, many in zip(all_texts, ours.encode_many(all_texts)):
+        assert many == ours.encode(t)
         want = library.encode(t, add_special_tokens=False).ids
         assert ours.encode(t) == want, t
         assert ours.decode(want) == library.decode(want, skip_special_tokens=False)
