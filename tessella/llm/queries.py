@@ -16,7 +16,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of rules whose cutoffs labelled rows certify."""
     from tessella.llm import rules
 
-    out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = rules.judge_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -170,23 +170,36 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str | None = "lang", k
 BROADCAST_STRATA = 10_000
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """docs (all columns) with the statistics, base_failed and kept."""
-    quality = quality_name(labels)
-    full = annotate(docs, text)
-    ids = labels.where(F.col(quality).isNotNull()).select(F.col(key).alias("__id")).distinct()
-    labelled = docs.join(ids, docs[key] == ids["__id"], "left_semi")
-    labelled = annotate(labelled.select(*dict.fromkeys([key, text, *([stratum] if stratum else [])])), text)
-    cut = written(cutoffs(labelled, labels, stratum, key, quality, risk, delta))
+def apply_cutoffs(stats: DataFrame, cut: DataFrame, stratum: str | None = "lang") -> DataFrame:
+    """stats (with STATISTICS) with kept."""
     by = F.col(stratum).cast("string") if stratum else F.lit("all")
     small = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     cut = F.broadcast(cut) if small else cut
     verdict = F.lit(False)
     for r, ratio in ratios().items():
         verdict = verdict | F.coalesce(ratio > F.col(f"cut_{r}"), F.lit(False))
-    joined = full.withColumn("__stratum", by).join(cut.withColumnRenamed("stratum", "__cut"), F.col("__stratum").eqNullSafe(F.col("__cut")), "left")
+    joined = stats.withColumn("__stratum", by).join(cut.withColumnRenamed("stratum", "__cut"), F.col("__stratum").eqNullSafe(F.col("__cut")), "left")
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~verdict)).drop("__stratum", "__cut", *[f"cut_{r}" for r in RULES])
 
 
+def measured(docs: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, stratum and STATISTICS of every row, as a narrow table in the shared folder: no text is ever shuffled."""
+    keep = list(dict.fromkeys([key, *([stratum] if stratum else [])]))
+    return written(annotate(docs.select(*dict.fromkeys([*keep, text])), text).select(*keep, *STATISTICS))
+
+
+def judge_statistics(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """key, stratum, STATISTICS and kept of every row; one pass over the texts."""
+    stats = measured(docs, stratum, key, text)
+    return apply_cutoffs(stats, written(cutoffs(stats, labels, stratum, key, quality_name(labels), risk, delta)), stratum)
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """docs (all columns) with STATISTICS and kept. Measures the texts twice rather than shuffle them to their verdicts."""
+    stats = measured(docs, stratum, key, text)
+    cut = written(cutoffs(stats, labels, stratum, key, quality_name(labels), risk, delta))
+    return apply_cutoffs(annotate(docs, text), cut, stratum)
+
+
 def quality_name(labels: DataFrame) -> str:
     return next(c for c in labels.columns if c.lower() == "quality")

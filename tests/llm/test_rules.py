@@ -43,6 +43,7 @@ def test_verdicts(spark):
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 4000)] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in rules.judge(docs, labels).collect()}
     assert all(got[i] == (i % 5 > 0) for i in range(4000))
+    assert got == {r.doc_id: r.kept for r in rules.judge_statistics(docs, labels).collect()}
     none = rules.judge(docs, labels.limit(0)).collect()
     assert all(r.kept for r in none) and len(none) == 4000
     assert rules.judge(docs.limit(0), labels).count() == 0
