@@ -30,6 +30,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 10-word windows of the benchmark items in every document, over a stored positional index."""
+    from tessella.llm import decontam
+
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
