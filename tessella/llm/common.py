@@ -62,7 +62,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's bytes (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, each: int = 64 << 20) -> int:

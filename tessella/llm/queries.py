@@ -38,6 +38,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-packed files of every text's ids in doc_id order, and each document as it is read back from them."""
+    import public_tokenizers
+
+    from tessella.llm import token_files
+
+    return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans, and those that rewriting disguises adds."""
+    from tessella.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
