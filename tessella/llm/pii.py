@@ -104,6 +104,7 @@ SPELLED_PART = re.compile(rf"({_times})({_word})(?!\w)|([0-9]+)|[ ]?(point|dot|p
 BRACKETED = re.compile(r"[ ]{0,2}(?:[\[({<][ ]{0,2}(at|@|dot|\.|punkt|punto|arroba|point)[ ]{0,2}[\])}>])[ ]{0,2}", re.I)
 AT_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})([ ](?:at|arroba|@)[ ]|[ ]?@[ ]?)([A-Za-z0-9-]{1,63}(?:(?:[ ](?:dot|punkt|punto|point)[ ]|[ ]\.[ ]|\.)[A-Za-z0-9-]{1,63}){1,6})(?![A-Za-z0-9-])", re.I)
 DOT_WORDS = re.compile(r"[ ](?:dot|punkt|punto|point|\.)[ ]", re.I)
+WORD_DOTS = re.compile(r"[ ](?:dot|punkt|punto|point)[ ]", re.I)
 AT_HINT = re.compile(r"[ ](?:at|arroba|@)[ ][A-Za-z0-9-]{1,63}(?:[ ](?:dot|punkt|punto|point|\.)[ ]|\.[A-Za-z0-9])|[ ]@|@[ ]|@[A-Za-z0-9-]{1,63}[ ](?:dot|punkt|punto|point)[ ]", re.I)
 LIKELY_TLD = re.compile(r"[a-z]{2,24}$", re.I)
 
@@ -166,7 +167,7 @@ def at_and_dot(tape: Tape) -> None:
             spaced = m[2] != "@" or DOT_WORDS.search(m[3])
             words = m[2].strip().lower() != "@"
             tail = DOT_WORDS.split(m[3])[-1].rsplit(".", 1)[-1]
-            if not spaced or not LIKELY_TLD.match(tail) or (words and not DOT_WORDS.search(m[3]) and tail.lower() not in COMMON_TLDS):
+            if not spaced or not LIKELY_TLD.match(tail) or (words and not WORD_DOTS.search(m[3]) and tail.lower() not in COMMON_TLDS):
                 continue
             if m[2] != "@":
                 edits.append((*m.span(2), "@"))

@@ -56,6 +56,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles are similar to 80 % or more, links confirmed on full sets."""
+    from tessella.llm import minhash
+
+    return minhash.groups(table(spark, sf_dir, "documents"), k=4, percent=80).withColumnRenamed("id", "doc_id")
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
