@@ -64,6 +64,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text by a factorisation machine fitted out of the held-out fold."""
+    from tessella.llm import quality
+
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
