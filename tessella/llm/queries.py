@@ -72,6 +72,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, its blocks labelled by a bidirectional LSTM."""
+    from tessella.llm import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_main_text": op3_main_text, "op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
