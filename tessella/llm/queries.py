@@ -80,6 +80,14 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_main_text": op3_main_text, "op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families stated in every document, named paragraph by paragraph and confirmed by templates."""
+    from tessella.llm import licenses
+
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_licenses": op5_licenses, "op3_main_text": op3_main_text, "op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
