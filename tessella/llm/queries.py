@@ -88,6 +88,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_licenses": op5_licenses, "op3_main_text": op3_main_text, "op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that every document shares, exactly or nearly, with another one."""
+    from tessella.llm import substring
+
+    return substring.passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_substring_dedup": op10_substring_dedup, "op5_licenses": op5_licenses, "op3_main_text": op3_main_text, "op1_quality": op1_quality, "op4_minhash": op4_minhash, "op7_pii": op7_pii, "op9_token_files": op9_token_files, "op6_decontamination": op6_decontamination, "op2_bpe": op2_bpe, "op8_quality_rules": op8_quality_rules}
 
 ORACLES: dict[str, str] = {}
