@@ -4,7 +4,8 @@
    MinHash samples folded into a parity bitmap, whose XOR's population count estimates a high similarity. Texts with equal sets are one node from here on.
 2. Each node is tried against one head (the smallest node of a band it shares), which joins most of a family through few pairs.
 3. Band buckets that still hold several components are compared block by block in numpy: nodes outside the bucket's main component
-   against all; only pairs of different components whose sketches agree are kept. So no link between components is lost, and pairs inside one aren't made.
+   against all; only pairs of different components whose sketches agree are kept, after two rounds of just the closest pairs. So no
+   link between components is lost, and pairs inside one aren't made.
 4. Links are confirmed on full sets. Sets go to the pair's first member in salted groups and are compared in a stream behind it.
 5. Components come from alternating star contraction on confirmed links.
 
@@ -180,41 +181,46 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _residual(nodes: DataFrame, buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose sketches agree.
+def _residual(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, best: int = 0) -> DataFrame:
+    """Pairs of different components that share a bucket and whose sketches agree, each from the first band that its members share.
 
-    In each bucket, nodes outside the component of its head meet all nodes, in salted blocks of GROUP rows.
+    In each bucket, nodes outside the component of its head meet all nodes, in salted blocks of about GROUP rows. With `best`, they meet
+    their own block only, and give the `best` closest pairs there: a cheap round that joins most of what belongs together.
     """
     spark = nodes.sparkSession
     rows = buckets.join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
     per = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min_by("root", "id").alias("main"))
     per = per.where("low < high").select("band", "main", F.ceil(F.col("n") / GROUP).alias("salts"))
-    rows = rows.join(per, "band").join(nodes.select("id", "sketch"), "id")
-    base = rows.select("band", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(True).alias("base"), "id", "root", "sketch")
-    minor = rows.where("root <> main").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("base"), "id", "root", "sketch")
+    rows = rows.join(per, "band").join(nodes, "id")
+    own = F.pmod(F.xxhash64("id"), F.col("salts"))
+    fields = ("id", "root", "sketch", "bands")
+    base = rows.select("band", own.alias("salt"), F.lit(True).alias("base"), *fields)
+    where = F.array(own) if best else F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)
+    minor = rows.where("root <> main").select("band", F.explode(where).alias("salt"), F.lit(False).alias("base"), *fields)
 
     def meet(batches: Iterator):
         import pyarrow as pa
 
-        group, ids, roots, sketches = None, [], [], []
-        block = None
+        group, held, block = None, [], None
         for b in batches:
             out_a, out_b = [], []
-            fields = zip(*[b.column(c).to_pylist() for c in ("band", "salt", "base", "id", "root", "sketch")])
-            for band, salt, base, i, root, sketch in fields:
+            for band, salt, base, i, root, sketch, bands in zip(*[b.column(c).to_pylist() for c in ("band", "salt", "base", *fields)]):
                 if (band, salt) != group:
-                    group, ids, roots, sketches, block = (band, salt), [], [], [], None
+                    group, held, block = (band, salt), [], None
+                bands = np.array(bands, np.int64)
                 if base:  # about GROUP rows come first
-                    ids.append(i)
-                    roots.append(root)
-                    sketches.append(sketch)
+                    held.append((i, root, sketch, bands))
                     continue
                 if block is None:
-                    block = np.array(ids, np.int64), np.array(roots, np.int64), np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
-                if not len(block[0]):
-                    continue
+                    block = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1), np.array([h[3] for h in held])
                 differing = np.bitwise_count(block[2] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64)
-                near = np.flatnonzero((estimate(differing) >= SKETCH_LEAST) & (block[1] != root))
+                close = estimate(differing)
+                near = np.flatnonzero((close >= SKETCH_LEAST) & (block[1] != root))
+                if best:
+                    near = near[np.argsort(-close[near], kind="stable")[:best]]
+                elif len(near):
+                    first = bands[np.argmax(block[3][near] == bands, axis=1)]  # the first band that both have
+                    near = near[first == band]
                 out_a += np.minimum(block[0][near], i).tolist()
                 out_b += np.maximum(block[0][near], i).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -235,13 +241,20 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     buckets = written(exploded.join(heads, "band"))  # only what shares a band with others
     votes = buckets.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
     first = votes.groupBy("id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("a")).select("a", F.col("id").alias("b"))
-    links = confirmed(docs, first, k, percent, key, text)
+    tried = written(first)
+    links = confirmed(docs, tried, k, percent, key, text)
     comp = written(components(links))
-    rest = written(_residual(nodes, buckets.select("id", "band"), comp).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
+    for best in (2, 2, 0):  # closest pairs twice, then every pair that is left
+        rest = written(_residual(nodes, buckets.select("id", "band"), comp, best).join(tried, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            if best:
+                continue
+            break
         more = confirmed(docs, rest, k, percent, key, text)
+        tried = tried.unionByName(rest)
         if not more.isEmpty():
-            comp = written(components(links.unionByName(more)))
+            links = links.unionByName(more)
+            comp = written(components(links))
     twins = same.where("n > 1").select("digest", "rep")
     out = prints.select("id", "n_shingles", "digest").join(twins, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
