@@ -20,9 +20,9 @@ MEMO_ENTRIES = 300_000
 _made: list[tuple[SparkSession, str]] = []
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that a worker's memory follows neither row nor text counts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hold Arrow batches to `rows` rows and BATCH_BYTES bytes, so that a worker's memory follows neither row nor text counts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

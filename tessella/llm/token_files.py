@@ -25,8 +25,10 @@ from tessella.llm.common import bounded_batches, partitions_for, shared_folder,
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 16
+#: Shards (16 bytes each) up to this many are broadcast; beyond it, Spark joins by shuffle.
+BROADCAST_SHARDS = 1_000_000
 #: Chunks of text a worker keeps with their ids.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 600_000
 #: Marks that end a word's run of letters in the split of the tokenizer file, without the apostrophe.
 TAIL = "!#$%&*+,-./:;<=>?@|"
 
@@ -70,26 +72,54 @@ class Chunks(dict):
         split = json.dumps(spec.get("pre_tokenizer") or {})
         #: Whether blanks are dropped and runs of letters stand alone, so that chunks can be encoded by themselves.
         self.by_chunk = '"Removed"' in split and "\\\\p{L}" in split
+        #: Tokens that end a run of letters, by id: a line of many runs is encoded at once and cut behind them.
+        suffix = (spec["model"].get("end_of_word_suffix") or "") if self.by_chunk else ""
+        self.ends = np.zeros(self.vocabulary, bool)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[i] = token.endswith(suffix)
         self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer") or {})
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of Latin-1 letters."""
+        if not self.ends.any():
+            return self.raw(runs)
+        out: list[bytes] = []
+        for k in range(0, len(runs), 65536):
+            part = runs[k : k + 65536]
+            lines = [" ".join(part[i : i + 1024]) for i in range(0, len(part), 1024)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part):
+                return self.raw(runs)
+            data, at = ids.tobytes(), 0
+            for end in cuts.tolist():
+                out.append(data[at:end])
+                at = end
+        return out
 
     def learn(self, chunks: list[str]) -> None:
         """Ids of new chunks: of letters and of the marks behind them apart, each looked up once."""
-        if len(self) + len(chunks) > MEMO_CHUNKS:
-            self.clear()
-            self.parts.clear()
-        cut = []
+        cut, parts, runs, rest = [], self.parts, {}, {}
         for c in chunks:
             stem = c.rstrip(TAIL)
-            if stem.isascii() and stem.isalpha():
-                cut.append((c, stem.lower() if self.lower else stem, c[len(stem) :]))
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):  # composed letters, of one lower-case letter each
+                tail = c[len(stem) :]
+                stem = stem.lower() if self.lower else stem
+                if stem not in parts:
+                    runs[stem] = None
             else:
-                cut.append((c, c, ""))
-        parts = self.parts
-        new = list({p for _, a, b in cut for p in (a, b) if p not in parts})
-        parts.update(zip(new, self.raw(new), strict=True))
+                stem, tail = c, ""
+                if c not in parts:
+                    rest[c] = None
+            if tail and tail not in parts:
+                rest[tail] = None
+            cut.append((c, stem, tail))
+        parts.update(zip(runs, self.letters(list(runs)), strict=True))
+        parts.update(zip(rest, self.raw(list(rest)), strict=True))
         for c, a, b in cut:
             self[c] = parts[a] + parts[b] if b else parts[a]
 
@@ -97,14 +127,13 @@ class Chunks(dict):
         if not self.by_chunk:
             return [x + end for x in self.raw(texts)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update([w for w in words if w not in self])
-        if new:
-            self.learn(list(new))
-            for words in split:  # the memo may have been emptied
-                if missing := [w for w in words if w not in self]:
-                    self.learn(list(set(missing)))
+        words = set().union(*split)
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > MEMO_CHUNKS:
+            self.clear()
+            self.parts.clear()
+            new = list(words)
+        self.learn(new)
         return [b"".join(map(self.__getitem__, words)) + end for words in split]
 
 
@@ -140,7 +169,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
         if ids:
             yield batch()
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4096)  # the more words at once, the fewer calls
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     order = [F.col(key).asc_nulls_first(), F.xxhash64(text), F.col(text)]
     rows.repartitionByRange(partitions_for(docs, 32 << 20), *order[:2]).sortWithinPartitions(*order).mapInArrow(run, FILE_SCHEMA).write.parquet(folder)
@@ -152,7 +181,8 @@ def read(spark, folder: str) -> DataFrame:
     blocks = spark.read.schema(FILE_SCHEMA).parquet(folder)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-    return blocks.join(before, "shard").withColumn("start", F.coalesce("base", F.lit(0)) + F.col("shard_start")).drop("base")
+    few = before.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    return blocks.join(F.broadcast(before) if few else before, "shard").withColumn("start", F.coalesce("base", F.lit(0)) + F.col("shard_start")).drop("base")
 
 
 def documents(spark, folder: str) -> DataFrame:
