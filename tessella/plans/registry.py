@@ -1,7 +1,8 @@
-"""The registered queries and the SQL that checks them."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-FLAGSHIP = "rt_bm25"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans import documents, evaluation, extras, graphs, relational, search  # noqa: F401
+from tessella.plans.base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "bm25_topk"
