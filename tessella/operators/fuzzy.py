@@ -9,9 +9,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC form."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -32,7 +33,7 @@ def covered(quote: str, text: str, share: float = 0.9) -> bool:
     return sum(b.size for b in blocks if b.size > 1) >= share * len(quote) and set(re.findall(r"\d+", quote)) <= set(re.findall(r"\d+", window))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def fuzzy_grounded(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([covered(q or "", t or "") for q, t in zip(quote, text)])
 
@@ -46,7 +47,7 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def word_error_rate(reference: pd.Series, got: pd.Series) -> pd.Series:
     """Word edits over the reference's words; null for an empty reference."""
     return pd.Series([edit_distance((r or "").split(), (g or "").split()) / len(r.split()) if r and r.split() else None for r, g in zip(reference, got)])
@@ -64,7 +65,7 @@ def first_object(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(s: pd.Series) -> pd.Series:
     return s.map(lambda t: first_object(t) if t else None)
 
