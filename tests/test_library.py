@@ -63,6 +63,20 @@ def test_graph(spark):
     assert w[1] > w[101] > 0
 
 
+def test_pagerank_to_convergence(spark):
+    edges, seeds = [(1, 2, 1.0), (2, 3, 2.0), (2, 1, 1.0), (4, 1, 1.0)], {1: 0.5, 4: 0.5}
+    rank = dict(seeds)
+    for _ in range(200):
+        new = {n: 0.5 * seeds.get(n, 0) for n in (1, 2, 3, 4)}
+        for s, d, w in edges:
+            new[d] += 0.5 * rank.get(s, 0) * w / sum(x[2] for x in edges if x[0] == s)
+        for n in seeds:
+            new[n] += 0.5 * rank.get(3, 0) * seeds[n]
+        rank = new
+    got = G.converged(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(1,), (4,)], "node long"))
+    assert {r.node: round(r.score, 4) for r in got.collect()} == {n: round(v, 4) for n, v in rank.items()}
+
+
 def test_trees_and_html(spark):
     tree = {"id": "p", "text": "P", "children": [{"id": "a", "text": "A", "children": [{"id": "x", "text": "X"}]}, {"id": "b", "text": "B"}]}
     df = spark.createDataFrame([(1, json.dumps(tree)), (2, None), (3, "{")], "k long, t string")
