@@ -56,14 +56,14 @@ def one_hop(t: Tables):
 
 BUNDLE = f"""with {BM25_CTE}, f as (select query, doc, score from bm where rank <= 5), e as (select distinct a.doc_id src, a.doc_id + 1 dst from documents a where a.doc_id % 3 > 0),
 r as (select query, dst doc, 0.15::double * sum(score) gain from f join e on f.doc = src group by all)
-select coalesce(f.query, r.query) query, coalesce(f.doc, r.doc) doc, round(coalesce(score, gain) + case when score is not null and gain is not null then 0.05 else 0 end, 4) score from f full join r on f.query = r.query and f.doc = r.doc"""
+select coalesce(f.query, r.query) query, coalesce(f.doc, r.doc) doc, round(coalesce(score, gain) + case when score is not null and gain is not null then 0.05 else 0 end, 6) score from f full join r on f.query = r.query and f.doc = r.doc"""
 
 
 @query(BUNDLE)
 def bundle_expand(t: Tables):
     """Seeds and what their edges lead to; here an edge goes from a document to the next."""
     edges = t.documents.where("doc_id % 3 > 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"))
-    return G.bundle(bm25(t), edges, seeds=5).withColumn("score", F.round("score", 4))
+    return G.bundle(bm25(t), edges, seeds=5)
 
 
 @query()
