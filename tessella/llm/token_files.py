@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, partitions_for, shared_folder, texts_of
+from tessella.llm.common import bounded_batches, partitions_for, shared_folder
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 16
@@ -159,7 +159,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
-            for i, d in zip(b.column(key).to_pylist(), chunks.encode([t.decode() for t in texts_of(b, text)], end), strict=True):
+            for i, d in zip(b.column(key).to_pylist(), chunks.encode([t or "" for t in b.column(text).to_pylist()], end), strict=True):
                 if ids and n + len(d) // 4 > BLOCK_IDS:
                     yield batch()
                     ids, data, n, block, start = [], [], 0, block + 1, start + n
