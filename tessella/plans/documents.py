@@ -110,7 +110,18 @@ def title_keys(t: Tables):
 select l_orderkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(txt, '(?i)\\bsections?\\s+(\\d{1,4}[A-Z]?)\\b', 1), lambda x: upper(x)))), ',') refs, count(*) n from s group by all""")
 def section_xrefs(t: Tables):
     """Section references, extracted again from synthesised text."""
-    s = t.lineitem.where("l_orderkey < 2000").select("l_orderkey", F.concat(F.lit("see section "), (F.col("l_partkey") % 50).cast("string"), F.when(F.col("l_linenumber") == 1, "A").otherwise(""), F.lit(" and sections "), (F.col("l_suppkey") % 9).cast("string")).alias("txt"))
+    return _xrefs(t.lineitem.where("l_orderkey < 2000"))
+
+
+@query("""with s as (select l_orderkey, 'see section ' || l_partkey % 50 || case when l_linenumber = 1 then 'A' else '' end || ' and sections ' || l_suppkey % 9 txt from lineitem)
+select l_orderkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(txt, '(?i)\\bsections?\\s+(\\d{1,4}[A-Z]?)\\b', 1), lambda x: upper(x)))), ',') refs, count(*) n from s group by all""")
+def section_xrefs_all(t: Tables):
+    """section_xrefs over every row."""
+    return _xrefs(t.lineitem)
+
+
+def _xrefs(lines):
+    s = lines.select("l_orderkey", F.concat(F.lit("see section "), (F.col("l_partkey") % 50).cast("string"), F.when(F.col("l_linenumber") == 1, "A").otherwise(""), F.lit(" and sections "), (F.col("l_suppkey") % 9).cast("string")).alias("txt"))
     refs = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("txt", F.lit(r"(?i)\bsections?\s+(\d{1,4}[A-Z]?)\b"), F.lit(1)), lambda x: F.upper(x))))
     return s.groupBy("l_orderkey", F.array_join(refs, ",").alias("refs")).agg(F.count("*").alias("n"))
 
@@ -155,6 +166,14 @@ def edit_rates(t: Tables):
     return t.benchmark.where(F.length(plain) > 0).select("item_id", F.levenshtein(a, b).alias("d"), F.round(F.levenshtein(a, b) / F.length(a), 6).alias("cer"))
 
 
+@query("""with a as (select item_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') t from benchmark) select item_id, levenshtein(t, substr(t, 1, greatest(length(t) - 10, 0))) d, round(levenshtein(t, substr(t, 1, greatest(length(t) - 10, 0))) / length(t), 6) cer from a where length(t) > 0""")
+def edit_rates_whole(t: Tables):
+    """Character error rate of a copy without its last ten characters, over whole texts."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    cut = F.substring(plain, F.lit(1), F.greatest(F.length(plain) - 10, F.lit(0)))
+    return t.benchmark.where(F.length(plain) > 0).select("item_id", F.levenshtein(plain, cut).alias("d"), F.round(F.levenshtein(plain, cut) / F.length(plain), 6).alias("cer"))
+
+
 @query(f"""select item_id, {NORM.format("text || chr(10) || '‘x’ — ' || chr(160) || 'y'")} norm from benchmark""")
 def normalize_text(t: Tables):
     return t.benchmark.select("item_id", T.normalize(F.concat("text", F.lit("\n‘x’ —  y"))).alias("norm"))

@@ -66,8 +66,19 @@ def wilson(t: Tables):
 b as (select rep, avg(v) mean from d join m on m.matter = d.pick group by rep) select round(quantile_cont(mean, 0.025), 6) lo, round((select avg(v) from m), 6) mean, round(quantile_cont(mean, 0.975), 6) hi from b""")
 def bootstrap_ci(t: Tables):
     """Percentile interval over replicates whose draws are hashes, so every run draws alike."""
+    return _bootstrap(t, 200)
+
+
+@query("""with m as (select l_suppkey % 40 matter, avg(l_discount) v from lineitem group by 1), r as (select unnest(range(0, 2000)) rep), d as (select rep, ('0x' || substr(md5(rep || ':' || i), 1, 8))::bigint % 40 pick from r, (select unnest(range(0, 40)) i)),
+b as (select rep, avg(v) mean from d join m on m.matter = d.pick group by rep) select round(quantile_cont(mean, 0.025), 6) lo, round((select avg(v) from m), 6) mean, round(quantile_cont(mean, 0.975), 6) hi from b""")
+def bootstrap_ci_2000(t: Tables):
+    """bootstrap_ci by 2,000 replicates."""
+    return _bootstrap(t, 2000)
+
+
+def _bootstrap(t: Tables, replicates: int):
     m = t.lineitem.groupBy((F.col("l_suppkey") % 40).alias("matter")).agg(F.avg("l_discount").alias("v"))
-    draws = t.spark.range(200 * 40).select((F.col("id") / 40).cast("long").alias("rep"), (F.col("id") % 40).alias("i"))
+    draws = t.spark.range(replicates * 40).select((F.col("id") / 40).cast("long").alias("rep"), (F.col("id") % 40).alias("i"))
     pick = F.conv(F.substring(F.md5(F.concat(F.col("rep").cast("string"), F.lit(":"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % 40
     means = draws.withColumn("matter", pick).join(m, "matter").groupBy("rep").agg(F.avg("v").alias("mean"))
     whole = m.agg(F.round(F.avg("v"), 6).alias("mean"))

@@ -17,15 +17,27 @@ def _edges(t: Tables):
 PPR = """with recursive e as (select c_custkey src, -1 - c_nationkey::bigint dst, 1.0::double + c_custkey % 3 w from customer union all select -1 - c_nationkey::bigint, c_custkey, 1.0::double + c_custkey % 3 from customer),
 m as (select src, dst, w / sum(w) over (partition by src) p from e), s as (select c_custkey node, 1.0::double / (select count(*) from customer where c_custkey % 50 = 0) e from customer where c_custkey % 50 = 0),
 r0 as (select node, e score from s)"""
-for _k in range(1, 7):
+for _k in range(1, 13):
+    if _k == 7:
+        PPR_SIX = PPR
     PPR += f""", r{_k} as (select coalesce(f.node, s.node) node, 0.5 * coalesce(i, 0) + 0.5 * coalesce(e, 0) score from (select dst node, sum(score * p) i from r{_k - 1} join m on src = node group by dst) f full join s on s.node = f.node)"""
 
 
-@query(PPR + " select node, round(score, 8) score from r6 where score > 0.000001")
+@query(PPR_SIX + " select node, round(score, 8) score from r6 where score > 0.000001")
 def ppr_expand(t: Tables):
+    return _expanded(t, 6)
+
+
+@query(PPR + " select node, round(score, 8) score from r12 where score > 0.000001")
+def ppr_expand_twelve(t: Tables):
+    """ppr_expand by the operator's own 12 rounds."""
+    return _expanded(t, 12)
+
+
+def _expanded(t: Tables, rounds: int):
     e = G.symmetric(_edges(t))
     seeds = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
-    return G.personalized(e, seeds, rounds=6).where("score > 0.000001").select("node", F.round("score", 8).alias("score"))
+    return G.personalized(e, seeds, rounds=rounds).where("score > 0.000001").select("node", F.round("score", 8).alias("score"))
 
 
 @query("select count(*) n_edges, count(distinct src) n_nodes, max(deg) top from (select src, dst, count(*) over (partition by src) deg from (select c_custkey src, -1 - c_nationkey dst from customer union select -1 - c_nationkey, c_custkey from customer))")

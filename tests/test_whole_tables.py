@@ -18,3 +18,17 @@ def test_dense_blocks_are_one_search(spark):
     items = spark.createDataFrame([(i, [1.0, float(i % 13), float(i)]) for i in range(60)], "doc long, v array<double>")
     queries = items.selectExpr("doc query", "v qv")
     assert sorted(R.dense_blocks(queries, items, 3, block=7).collect()) == sorted(R.dense(queries, items, 3).collect())
+
+
+def test_section_references_of_all_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    keys = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct()
+    got = registry.QUERIES["section_xrefs_all"](spark, folder).select("l_orderkey").distinct()
+    assert keys.where("l_orderkey >= 2000").count() > 0 and keys.subtract(got).count() == 0
+
+
+def test_whole_parameters(spark):
+    run = lambda name: registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(run("ppr_expand_twelve")) != sorted(run("ppr_expand"))
+    assert run("bootstrap_ci_2000")[0].mean == run("bootstrap_ci")[0].mean
+    assert {r.d for r in run("edit_rates_whole")} == {10}
