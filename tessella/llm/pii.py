@@ -3,7 +3,7 @@
 Base spans come from linear scanners that give what the stated patterns give, leftmost and non-overlapping per kind. For
 disguised ones, transducers rewrite a text step by step (look-alike characters and invisible ones; written-out digits; at/dot
 in words or brackets), each output character carrying the source range it came from. The same scanners run over the result, and a span
-that holds at least one rewritten character is mapped back to source offsets; it is added unless it meets a base span of its kind.
+that holds at least one rewritten character is mapped back to source offsets; it is added unless it lies within a base span of its kind.
 Offsets are code points, ends exclusive.
 
 Defined cases: null is the empty text; several kinds may overlap; equal rows are judged alike. Masking takes the union of all spans.
@@ -98,7 +98,7 @@ _word = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _times = "(?:(?:double|triple)[ -])?"
 #: Four or more digits in a row, at least one of them a word; points and a plus may be words too.
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,-]{{0,3}})?(?:{_times}{_word}|[0-9]+)(?:(?:[ ,./()-]{{1,3}}|[ ]?(?:point|dot|punkt|punto)[ ]?)(?:{_times}{_word}|[0-9]+)){{3,}}(?!\w)", re.I)
-SPELLED_HINT = re.compile(rf"(?<!\w){_word}[ ,./()-]{{1,3}}(?:dot |point |punkt |punto )?{_times}(?:{_word}|[0-9])", re.I)
+SPELLED_HINT = re.compile(rf"(?<!\w){_word}[ ,./()-]{{1,3}}(?:dot |point |punkt |punto )?{_times}(?:{_word}|[0-9])|\+[0-9][ ().0-9-]{{5,40}}[0-9][ ,./()-]{{1,3}}{_times}{_word}(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"({_times})({_word})(?!\w)|([0-9]+)|[ ]?(point|dot|punkt|punto)[ ]?|(plus)[ ]?|(.)", re.I)
 #: At and dot in brackets, or as words between what could be a name and a domain.
 BRACKETED = re.compile(r"[ ]{0,2}(?:[\[({<][ ]{0,2}(at|@|dot|\.|punkt|punto|arroba|point)[ ]{0,2}[\])}>])[ ]{0,2}", re.I)
@@ -192,7 +192,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     for a, b, kind in scan(tape.text):
         if any(tape.changed[a:b]):
             a, b = tape.starts[a], tape.ends[b - 1]
-            if not any(k == kind and a < y and x < b for x, y, k in base):
+            if not any(k == kind and x <= a and b <= y for x, y, k in base):
                 more.append((a, b, kind))
     return base, sorted({*base, *more}, key=order)
 
