@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison. DataFrame functions only.
 
-A softmax regression over hashed word 1- and 2-grams names the licence family of each paragraph (a line), with an explicit class for
-other text. It is trained here, by full-batch gradient descent inside a DataFrame expression, from statements made by rule
+A softmax regression over hashed word 1- and 2-grams names the licence families of each paragraph (between blank lines, its lines joined), with
+an explicit class for other text. It sees windows of WINDOW words, so that any template lies in one, and a paragraph's lines. It is trained here, by full-batch gradient descent inside a DataFrame expression, from statements made by rule
 (frames x names) and opening paragraphs of well-known licences, against ordinary sentences. Its temperature, and the probability that a
 family must reach, come from frames held out of training: the least probability that a right held-out statement gets, but 0.5 at least. A named family counts when
-a template of it shares enough of its n-grams with the paragraph; licence-like paragraphs that fail this are `unknown`.
+a template of it shares enough of its n-grams with the window; one window can have several, where each is confirmed by n-grams that the others'
+templates don't have. A line of a longer paragraph counts alone when it has a whole template. Licence-like paragraphs without a family are `unknown`.
 
 Everything happens inside a row, so there is no shuffle; the model (some hundred n-grams, a dozen families) is the only thing sent along.
 Defined cases: null and empty texts have no paragraphs; a repeated paragraph counts each time; other languages come out as other text.
@@ -72,12 +73,23 @@ FAMILIES = tuple(NAMES)
 COMMON = "the of to and a in is this that be are on at or for from with by as it an was you may not any all under use see file made code".split()
 #: n-grams of the model that a paragraph needs at least, to be scored; others are other text.
 LEAST_HITS = 2
+#: Words of a window, over twice a template's; each starts half a window after the one before.
+WINDOW = 60
+#: n-grams of a template that can stand without the classifier, and words that join names.
+OPENING, JOINING = 15, ("or", "and", "and/or")
 EPOCHS, RATE, DECAY = 120, 4.0, 1e-4
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"), F.lit(0))
+
+
 def grams(text: Column) -> Column:
-    """Distinct hashes of a paragraph's 1- and 2-grams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"), F.lit(0))
+    """Distinct hashes of a text's 1- and 2-grams."""
+    return grams_of(words_of(text))
+
+
+def grams_of(words: Column) -> Column:
     both = lambda w: F.concat(
         F.transform(w, lambda x: F.xxhash64(x)),
         F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)")),
@@ -169,34 +181,78 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Mod
     """key, n_paragraphs, families (sorted distinct), n_confirmed, n_unknown, and findings (place of the paragraph, family or unknown, probability, confirmed)."""
     m = model or trained(docs.sparkSession)
     let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
+    filled = lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != ""
     vocabulary = F.array(*map(F.lit, m.vocabulary))
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    scored = F.filter(
-        F.transform("__lines", lambda x, k: let(grams(x), lambda g: F.struct(k.alias("place"), g.alias("grams"), F.array_intersect(g, vocabulary).alias("hits")))),
-        lambda p: F.size(p["hits"]) >= LEAST_HITS,
-    )
     templates = F.array(*[F.array(*[F.array(*map(F.lit, t)) for t in ts]) for ts in m.templates])
+    no_template = F.expr("cast(array() as array<array<bigint>>)")
+    longer = lambda n: F.array(*[F.array(*[F.array(*map(F.lit, t)) for t in ts if len(t) >= n]) if any(len(t) >= n for t in ts) else no_template for ts in m.templates])
+    openings, phrases = longer(OPENING), longer(2)
+    families = F.array(*map(F.lit, FAMILIES))
+    # A one-word name beside another family's needs a word that joins it to the rest: "MIT or ...", "MIT/GPLv3".
+    single = [[n.lower() for n in NAMES[f] if " " not in n] for f in FAMILIES]
+    joins = lambda n: [(n, w) for w in JOINING] + [(w, n) for w in JOINING] + [p for o in sum(single, []) if o != n for p in ((n, o), (o, n))]
+    joined = F.array(*[F.array(F.lit(0).cast("long"), *[F.xxhash64(F.lit(a), F.lit(b)) for n in ns for a, b in joins(n)]) for ns in single])
+    paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n[ \t\r\f]*\n"), filled)
+
+    def units(p: Column, k: Column) -> Column:
+        """A paragraph's windows, and its lines if it has several."""
+        unit = lambda words, line: F.struct(k.alias("place"), words.alias("words"), line.alias("line"))
+        starts = lambda n: F.sequence(F.lit(0), F.greatest(n - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
+        windows = let(words_of(p), lambda w: F.transform(starts(F.size(w)), lambda a: unit(F.slice(w, a + 1, F.lit(WINDOW)), F.lit(False))))
+        lines = let(F.filter(F.split(p, "\n"), filled), lambda x: F.when(F.size(x) > 1, F.transform(x, lambda y: unit(words_of(y), F.lit(True)))))
+        return F.concat(windows, F.coalesce(lines, F.filter(windows, lambda x: F.lit(False))))
+
+    def share(family: Column, held: Column, of: Column = templates) -> Column:
+        """The largest share of a template of the family among the n-grams held."""
+        return F.coalesce(F.array_max(F.transform(F.get(of, family), lambda t: F.size(F.array_intersect(t, held)) / F.size(t))), F.lit(0.0))
+
+    def findings(p: Column) -> Column:
+        """(place, family, probability, share, line) of every confirmed family of a unit, or one without a family if it is licence-like."""
+        able = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1)), lambda c: F.struct(c.alias("c"), share(c, p["grams"]).alias("share"))), lambda x: x["share"] >= CONFIRM)
 
-    def finding(p: Column) -> Column:
         def named(prob: Column) -> Column:
-            best = F.array_position(prob, F.array_max(prob)).cast("int") - 1
-            share = F.array_max(F.transform(F.get(templates, best), lambda t: F.size(F.array_intersect(t, p["grams"])) / F.size(t)))
-            is_licence = best < len(FAMILIES)
-            sure = is_licence & (F.array_max(prob) >= m.bound) & (F.coalesce(share, F.lit(0.0)) >= CONFIRM)
-            return F.struct(
-                p["place"].alias("place"),
-                F.when(sure, F.get(F.array(*map(F.lit, FAMILIES)), best)).otherwise(F.lit("unknown")).alias("family"),
-                F.round(F.array_max(prob), 6).alias("probability"),
-                sure.alias("confirmed"),
-                is_licence.alias("licence"),
-            )
+            def judged(able: Column) -> Column:
+                def sure(x: Column) -> Column:
+                    rest = F.array_except(p["grams"], F.flatten(F.get(templates, x["c"])))
+                    others = lambda r: F.transform(F.filter(able, lambda y: (y["c"] != x["c"]) & (share(y["c"], r) >= CONFIRM)), lambda y: y["c"])
+                    own = F.get(prob, x["c"])
+
+                    def over(apart: Column) -> Column:
+                        mass = F.aggregate(apart, F.lit(0.0), lambda a, c: a + F.get(prob, c))
+                        rival = F.array_max(F.transform(prob, lambda v, c: F.when(F.array_contains(apart, c) | (c == x["c"]), 0.0).otherwise(v)))
+                        stands = (own >= m.bound) | (share(x["c"], p["grams"], phrases) == 1) | F.arrays_overlap(F.get(joined, x["c"]), p["grams"])
+                        return (own >= m.bound * (1 - mass)) & (own >= rival) & stands
+
+                    # A long template that doesn't owe its n-grams to a better one needs no classifier.
+                    better = F.flatten(F.transform(F.filter(able, lambda y: (y["c"] != x["c"]) & (y["share"] > x["share"])), lambda y: F.flatten(F.get(templates, y["c"]))))
+                    return (share(x["c"], F.array_except(p["grams"], better), openings) >= CONFIRM) | let(let(rest, others), over)
+
+                return F.transform(F.filter(able, sure), lambda x: F.struct(p["place"].alias("place"), F.get(families, x["c"]).alias("family"), F.get(prob, x["c"]).alias("probability"), x["share"].alias("share"), p["line"].alias("line")))
+
+            best = F.array_position(prob, F.array_max(prob)) - 1
+            none = F.struct(p["place"].alias("place"), F.lit(None).cast("string").alias("family"), F.array_max(prob).alias("probability"), F.lit(0.0).alias("share"), p["line"].alias("line"))
+            return let(let(able, judged), lambda found: F.when((F.size(found) > 0) | (best >= len(FAMILIES)), found).otherwise(F.array(none)))
 
         return let(_probabilities(m, p["hits"]), named)
 
-    rows = docs.select(F.col(key), lines.alias("__lines")).select(key, F.size("__lines").cast("long").alias("n_paragraphs"), scored.alias("__p"))
-    rows = rows.select(key, "n_paragraphs", F.filter(F.transform("__p", finding), lambda f: f["licence"]).alias("__f"))
-    kept = F.transform("__f", lambda f: F.struct(f["place"].alias("place"), f["family"].alias("family"), f["probability"].alias("probability"), f["confirmed"].alias("confirmed")))
-    return rows.select(key, "n_paragraphs", kept.alias("findings")).select(
+    scored = F.filter(
+        F.transform(F.flatten(F.transform("__paragraphs", units)), lambda u: let(grams_of(u["words"]), lambda g: F.struct(u["place"].alias("place"), u["line"].alias("line"), g.alias("grams"), F.array_intersect(g, vocabulary).alias("hits")))),
+        lambda p: F.size(p["hits"]) >= LEAST_HITS,
+    )
+    rows = docs.select(F.col(key), paragraphs.alias("__paragraphs")).select(key, F.size("__paragraphs").cast("long").alias("n_paragraphs"), scored.alias("__p"))
+    rows = rows.select(key, "n_paragraphs", F.flatten(F.transform("__p", findings)).alias("__f"))
+    sure = F.filter("__f", lambda f: f["family"].isNotNull() & (~f["line"] | (f["share"] == 1)))
+    rows = rows.select(key, "n_paragraphs", "__f", sure.alias("__sure"))
+    # Of a paragraph, each family once, and one unknown if it has no family; both with the largest probability.
+    best = lambda fs, same: F.round(F.array_max(F.transform(F.filter(fs, same), lambda f: f["probability"])), 6)
+    finding = lambda place, family, probability, confirmed: F.struct(place.alias("place"), family.alias("family"), probability.alias("probability"), F.lit(confirmed).alias("confirmed"))
+    known = F.transform(
+        F.array_distinct(F.transform("__sure", lambda f: F.struct(f["place"].alias("place"), f["family"].alias("family")))),
+        lambda x: finding(x["place"], x["family"], best("__sure", lambda f: (f["place"] == x["place"]) & (f["family"] == x["family"])), True),
+    )
+    places = lambda fs: F.array_distinct(F.transform(fs, lambda f: f["place"]))
+    unknown = F.transform(F.array_except(places(F.col("__f")), places(F.col("__sure"))), lambda k: finding(k, F.lit("unknown"), best("__f", lambda f: f["place"] == k), False))
+    return rows.select(key, "n_paragraphs", F.array_sort(F.concat(known, unknown)).alias("findings")).select(
         key,
         "n_paragraphs",
         F.array_sort(F.array_distinct(F.transform(F.filter("findings", lambda f: f["confirmed"]), lambda f: f["family"]))).alias("families"),

@@ -35,3 +35,25 @@ def test_edges(spark, model):
     got = lic.scanned(df, model=model).collect()
     assert sorted((r.n_paragraphs, r.n_confirmed) for r in got) == [(0, 0), (0, 0), (2, 2)]
     assert lic.scanned(df.limit(0), model=model).count() == 0
+
+
+def test_wrapped_openings_and_several_families(spark, model):
+    import textwrap
+
+    words = "the river ran past the old mill and the town beyond it slept under the snow".split()
+    cases = [(textwrap.fill(o, width), [f]) for f, os in lic.OPENINGS.items() for o in os for width in (60, 72, 80) if not o.startswith("you may not use")]  # that has no n-gram of the model
+    bsd = "\n".join(f" * {x}" for x in textwrap.wrap(" ".join(lic.OPENINGS["BSD"]), 70))
+    cases += [
+        (bsd, ["BSD"]),
+        (" ".join(words * 9) + "\n" + textwrap.fill(lic.OPENINGS["MIT"][0], 72) + "\n" + " ".join(words * 9), ["MIT"]),
+        ("Licensed under MIT or Apache-2.0.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the GNU Lesser General Public License.\nLicensed under the GNU General Public License.", ["GPL", "LGPL"]),
+        (" ".join(words * 2) + " mit er. Licensed under CC BY-NC 4.0.", ["CC-BY-NC"]),
+        (textwrap.fill(lic.OPENINGS["LGPL"][0] + " as published by the Free Software Foundation", 72), ["LGPL"]),
+        (textwrap.fill("This library is released under the GNU Lesser General Public License.", 44), ["LGPL"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scanned(df, model=model).collect()}
+    assert not [(t, f, got[i]) for i, (t, f) in enumerate(cases) if got[i].families != f]
+    assert got[len(cases) - 8].n_paragraphs == 1
