@@ -172,3 +172,28 @@ def natural_order(c) -> list[Column]:
     """Sort keys for 1, 2, 12, 12A, 13; what doesn't start with a number comes last."""
     n = F.nullif(F.regexp_extract(col(c), r"^(\d+)", 1), F.lit("")).try_cast("long")
     return [n.isNull(), n, F.regexp_replace(col(c), r"^\d+", "")]
+
+
+#: Fixed value: what announces a ruling.
+CUE = (
+    r"(?i)((?:we|I)\s+(?:hold|am of (?:the )?view|are of (?:the )?view|am inclined|therefore hold)|\bheld\s+that|it (?:is|was) (?:hereby )?(?:held|ordered|declared)|"
+    r"the appeal is (?:allowed|dismissed)|(?:we|I) (?:set aside|affirm|allow|dismiss)|in (?:my|our) (?:view|opinion|judgment)|the (?:learned )?(?:trial |district )?judge (?:erred|was (?:right|wrong)))"
+)
+
+
+def cue_window(text: Column, head: int = 2400, tail: int = 7200, most: int = 16000, cue: str = CUE) -> Column:
+    """Head, cue paragraphs between until they fill what is left of `most` characters, and tail; a text of at most `most` characters is itself."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    gap = "\n\n[...]\n\n"
+
+    def window(t: Column) -> Column:
+        between = F.substring(t, F.lit(head + 1), F.length(t) - head - tail)
+        cues = F.filter(F.transform(F.split(between, r"(?U)\n\s*\n"), bare), lambda p: (p != "") & F.regexp_like(p, F.lit("(?U)" + cue)))
+        start = F.struct(F.expr("cast(array() as array<string>)").alias("kept"), F.lit(most - head - tail).alias("left"))
+        more = lambda a, p: F.when(a["left"] > 0, F.struct(F.concat(a["kept"], F.array(p)).alias("kept"), (a["left"] - F.length(p)).alias("left"))).otherwise(a)
+        kept = F.aggregate(cues, start, more, lambda a: a["kept"])
+        middle = let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit(gap), F.array_join(k, "\n\n"))).otherwise(""))
+        whole = F.concat(F.substring(t, 1, head), middle, F.lit(gap), F.right(t, F.lit(tail)))
+        return F.when(F.length(t) <= most, t).otherwise(F.substring(whole, 1, most + 2000))
+
+    return let(bare(text), window)

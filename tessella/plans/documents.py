@@ -42,6 +42,13 @@ def cue_window(t: Tables):
     return t.documents.select("doc_id", F.length(w).cast("long").alias("n"), F.md5(w).alias("h"))
 
 
+@query()
+def cue_window_paragraphs(t: Tables):
+    """Head, cue paragraphs in budget and tail at the operator's sizes; tests hold it against a plain version."""
+    w = t.documents.select("doc_id", T.cue_window(F.col("text")).alias("w"))
+    return w.select("doc_id", F.length("w").cast("long").alias("n"), F.md5("w").alias("h"))
+
+
 @query("""with w as (select doc_id, text, substr(text, 101, 60) q, regexp_extract(substr(text, 101, 60), '[A-Za-z]+') c, strpos(text, substr(text, 101, 60)) p from documents),
 v as (select *, substr(text, greatest(p - 40, 1), length(q) + 80) win from w)
 select doc_id, case when p > 0 and q <> '' and c <> '' and contains(win, c) then 'window-citation-masked' when p > 0 and q <> '' then 'window-quote-masked' else 'held-sentence-fallback' end how,

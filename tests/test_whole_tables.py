@@ -32,3 +32,32 @@ def test_whole_parameters(spark):
     assert sorted(run("ppr_expand_twelve")) != sorted(run("ppr_expand"))
     assert run("bootstrap_ci_2000")[0].mean == run("bootstrap_ci")[0].mean
     assert {r.d for r in run("edit_rates_whole")} == {10}
+
+
+def test_cue_paragraphs_are_in_the_window(spark, tmp_path):
+    import hashlib
+    import re
+
+    from tessella.functions.text import CUE
+
+    def brute(text):
+        text = text.strip()
+        if len(text) <= 16000:
+            return text
+        cues, left = [], 16000 - 2400 - 7200
+        for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text[2400:-7200]))):
+            if re.search(CUE, p):
+                cues.append(p)
+                left -= len(p)
+                if left <= 0:
+                    break
+        gap = "\n\n[...]\n\n"
+        return (text[:2400] + (gap + "\n\n".join(cues) if cues else "") + gap + text[-7200:])[:18000]
+
+    plain, cue = "The road was wet and nobody came. " * 9, "In my view the appeal is dismissed. "
+    texts = ["", " short\n", "\n\n".join([plain] * 60), "\n\n".join([*[plain] * 20, cue, *[plain] * 20, "We\u00a0hold it so.", "WE hold it so: é", *[plain] * 40])]
+    texts += ["\n \n".join([plain, cue * 40] * 60), "\n\n".join([plain] * 20 + [cue * 500] + [plain] * 40), "x" * 16000, "x" * 16001]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.h) for r in registry.QUERIES["cue_window_paragraphs"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(w), hashlib.md5(w.encode()).hexdigest()) for i, w in enumerate(map(brute, texts))}
+    assert cue.strip() in brute(texts[3])
