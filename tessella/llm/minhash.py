@@ -1,19 +1,22 @@
 """Near-duplicate groups: MinHash bands for candidates, odd sketches to sift them, full shingle sets to confirm links.
 
 1. One narrow pass gives each text its set's size and 128-bit digest, BANDS band hashes of ROWS MinHash values each, and the odd sketch: the
-   MinHash samples folded into a parity bitmap, whose XOR's population count estimates a high similarity. Texts with equal sets are one node from here on.
-2. Each node is tried against one head (the smallest node of a band it shares), which joins most of a family through few pairs.
+   MinHash samples folded into a parity bitmap, whose XOR's population count estimates a high similarity. Texts with equal sets are one
+   node, named by the digest, from here on.
+2. Nodes that vote for one head (the smallest node of a band they share) are confirmed against each other and it, in salted blocks.
 3. Band buckets that still hold several components are compared block by block in numpy: nodes outside the bucket's main component
-   against all; only pairs of different components whose sketches agree are kept, after two rounds of just the closest pairs. So no
-   link between components is lost, and pairs inside one aren't made.
-4. Links are confirmed on full sets. Sets go to the pair's first member in salted groups and are compared in a stream behind it.
+   against all. Nodes with a partner in another component whose sketch agrees are asked for, first with their closest partner only (twice), then
+   with every one. So no link between components is lost.
+4. Blocks confirm on full sets over an inverted list, and give only links that join two of their components: fewer than the block has nodes, so
+   what is made grows with the rows of a family and not with its pairs. A set is sent once per block.
 5. Components come from alternating star contraction on confirmed links.
 
-A pair at the similarity threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 1e-7, and is sifted wrongly with less than that.
-Nothing is collected to the driver or into one task: buckets and heads are split by salt.
+A pair at the similarity threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 1e-7, and its sketches send it away with about 1e-6.
+Nothing is collected to the driver or into one task: buckets and heads are split by salt, in rows and bytes.
 
-Defined cases: a null or empty text has no shingles, links with nothing and is kept; rows with one doc_id are one node if they represent
-their set; a null doc_id is never kept and has no component; a text with fewer words than a shingle is one shingle.
+Defined cases: a null or empty text has no shingles, links with nothing and is kept; rows with one doc_id and different texts are compared each by its
+own text; a null doc_id is never kept and has no component; a text with fewer words than a shingle is one shingle; a text of any length is one set; an
+empty table gives an empty table; other columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from tessella.llm.common import WordHashes, bounded_batches, discard, mixed, odd
 BANDS, ROWS = 40, 5
 #: Bits of an odd sketch, and the estimated similarity under which a pair isn't compared further (4 standard deviations below 0.8).
 SKETCH_BITS, SKETCH_LEAST = 512, 0.66
-#: Members of a salted group: rows behind one copy of a head, and rows of a bucket compared at once.
-GROUP = 512
-#: Rows (about 40 bytes each) up to which a table of wanted ids is broadcast; beyond it, Spark joins by shuffle.
-BROADCAST_ROWS = 400_000
+#: Nodes and bytes of sets in a salted block of a bucket, about.
+GROUP, BLOCK_BYTES = 1024, 16 << 20
+#: Rows (about 100 bytes each) and blocks in them up to which a table of wanted nodes is broadcast; beyond it, Spark joins by shuffle.
+BROADCAST_ROWS = 200_000
 
 _A = (odd_multipliers(BANDS * ROWS, 0xA11CE) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (odd_multipliers(BANDS * ROWS, 0xB0B) >> np.uint64(32)).astype(np.uint32)
@@ -75,7 +78,7 @@ def sets_of(texts: list[bytes], k: int, words: WordHashes) -> Iterator[np.ndarra
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key (long), n_shingles, digest, sketch, bands of every row, in the shared folder."""
+    """key (long), mark (hash of the text), n_shingles, digest, sketch, bands of every row, in the shared folder."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -92,70 +95,138 @@ def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text
                 digest.append(d)
                 sketch.append(memo[d][0] if d else None)
                 bands.append(memo[d][1] if d else None)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("__mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "mark", "n_shingles", "digest", "sketch", "bands"])
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    return written(rows.mapInArrow(run, "id long, n_shingles long, digest binary, sketch binary, bands array<bigint>"))
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), F.xxhash64(text).alias("__mark"))
+    return written(rows.mapInArrow(run, "id long, mark long, n_shingles long, digest binary, sketch binary, bands array<bigint>"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b) of pairs whose full sets have 100 * intersection >= percent * union.
+def _salts(n, shingles):
+    """Blocks that a bucket of n nodes with so many shingles is cut into: GROUP nodes and BLOCK_BYTES bytes of sets each, about."""
+    return F.ceil(F.greatest(n / GROUP, shingles * 8 / BLOCK_BYTES)).cast("int")
 
-    Every id is told which groups want its set: a head its own salted groups, a member the group it fell into. Texts are read
-    again only for those ids, and each set travels once per group.
+
+def _block(of):
+    return F.struct(of.alias("band"), "salt")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, percent: int, within: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of different roots that meet in a block: 100 * intersection >= percent * union of full sets.
+
+    asked: block (struct), held, digest, root. A block's held nodes are compared with its visitors and, if `within`, with each other, over an
+    inverted list of the held sets. A union-find over roots keeps only links that join, so a block gives fewer links than it has nodes.
+    Texts are read again only for asked nodes, and a set is sent once per block.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts"))  # one row a head
-    members = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    wanted = members.select(F.col("b").alias("want"), "a", "salt", F.lit(False).alias("head")).unionByName(
-        sizes.select(F.col("a").alias("want"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("head"))
-    )
-    # A head with very many groups has its list cut into rows of bounded length.
-    wanted = written(wanted.groupBy("want", F.pmod("salt", F.lit(64)).alias("part")).agg(F.collect_list(F.struct("a", "salt", "head")).alias("groups")).drop("part"))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = asked.groupBy("digest", F.pmod(F.xxhash64("block"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("block", "held", "root")).alias("blocks"))
+    wanted = written(wanted.join(nodes.select("digest", "rep"), "digest").select("digest", "rep", "blocks"))
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and wanted.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0] <= 2 * BROADCAST_ROWS
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("want")).select("id", "text", "groups")
+    joined = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("rep")).select("text", "digest", "blocks")
 
     def send(batches: Iterator):
         import pyarrow as pa
 
         words = WordHashes()
         for b in batches:
-            for i, s, groups in zip(b.column("id").to_pylist(), sets_of(texts_of(b), k, words), b.column("groups").to_pylist(), strict=True):
+            for digest, s, blocks in zip(b.column("digest").to_pylist(), sets_of(texts_of(b), k, words), b.column("blocks").to_pylist(), strict=True):
                 data = s.tobytes()
-                for g0 in range(0, len(groups), 64):
-                    g = groups[g0 : g0 + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in g], pa.int64()), pa.array([x["salt"] for x in g], pa.int64()), pa.array([not x["head"] for x in g], pa.bool_()), pa.array([i] * len(g), pa.int64()), pa.array([data] * len(g), pa.binary())], names=["a", "salt", "member", "id", "shingles"])
+                if xxhash.xxh3_128_digest(data) != digest:  # another text under the same id
+                    continue
+                each = max(1, min(64, (4 << 20) // max(len(data), 1)))
+                for i in range(0, len(blocks), each):
+                    part = blocks[i : i + each]
+                    n = len(part)
+                    columns = [[x["block"]["band"] for x in part], [x["block"]["salt"] for x in part], [not x["held"] for x in part], [digest] * n, [x["root"] for x in part], [data] * n]
+                    types = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["band", "salt", "visitor", "digest", "root", "shingles"])
 
     def compare(batches: Iterator):
         import pyarrow as pa
 
-        group, heads = None, []
+        block, at = None, None
         for b in batches:
-            out_a, out_b = [], []
-            for a, salt, member, i, data in zip(*[b.column(c).to_pylist() for c in ("a", "salt", "member", "id", "shingles")]):
-                if (a, salt) != group:
-                    group, heads = (a, salt), []
+            out: list[tuple[bytes, bytes]] = []
+            for band, salt, visitor, digest, root, data in zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "digest", "root", "shingles")]):
+                if (band, salt) != at:
+                    if block is not None and within:
+                        out += block.inside()
+                    block, at = Block(percent), (band, salt)
                 s = np.frombuffer(data, np.uint64)
-                if not member:
-                    heads.append(s)
-                    continue
-                for h in heads:  # several only if rows share an id
-                    small, large = (s, h) if len(s) < len(h) else (h, s)
-                    if len(small) * 100 >= percent * len(large) and len(small):
-                        at = np.searchsorted(large, small)
-                        at[at == len(large)] = 0
-                        both = int((large[at] == small).sum())
-                        if 100 * both >= percent * (len(s) + len(h) - both):
-                            out_a.append(a)
-                            out_b.append(i)
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                if visitor:
+                    out += block.meet(digest, root, s)
+                else:
+                    block.hold(digest, root, s)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+        if block is not None and within:
+            out = block.inside()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounded_batches(docs.sparkSession)
-    sent = joined.mapInArrow(send, "a long, salt long, member boolean, id long, shingles binary").repartition(n, "a", "salt")
-    return written(sent.sortWithinPartitions("a", "salt", "member").mapInArrow(compare, "a long, b long").distinct())
+    sent = joined.mapInArrow(send, "band long, salt int, visitor boolean, digest binary, root binary, shingles binary").repartition(n, "band", "salt")
+    return written(sent.sortWithinPartitions("band", "salt", "visitor").mapInArrow(compare, "a binary, b binary").distinct())
+
+
+class Block:
+    """Sets held in memory (bounded by _salts) with an inverted list, and a union-find over their roots."""
+
+    def __init__(self, percent: int):
+        self.percent, self.digests, self.roots, self.sets, self.parent, self.terms, self.known = percent, [], [], [], {}, None, set()
+
+    def hold(self, digest: bytes, root: bytes, s: np.ndarray) -> None:
+        if digest not in self.known:  # repeated rows
+            self.known.add(digest)
+            self.digests.append(digest)
+            self.roots.append(root)
+            self.sets.append(s)
+
+    def find(self, root: bytes) -> bytes:
+        self.parent.setdefault(root, root)
+        while self.parent[root] != root:
+            self.parent[root] = root = self.parent[self.parent[root]]
+        return root
+
+    def _index(self) -> None:
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        everything = np.concatenate(self.sets)
+        order = np.argsort(everything, kind="stable")
+        self.terms, starts = np.unique(everything[order], return_index=True)
+        self.starts = np.append(starts, len(everything))
+        self.owners, self.sizes = np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+
+    def linked(self, s: np.ndarray, upto: int) -> np.ndarray:
+        """Held sets before `upto` that are similar enough to s."""
+        at = np.searchsorted(self.terms, s)
+        at[at == len(self.terms)] = 0
+        at = at[self.terms[at] == s]
+        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        if not len(at):
+            return at
+        total = int(n.sum())
+        rows = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+        both = np.bincount(self.owners[rows], minlength=len(self.sizes))[:upto]
+        return np.flatnonzero((both > 0) & (100 * both >= self.percent * (self.sizes[:upto] + len(s) - both)))
+
+    def _join(self, digest: bytes, root: bytes, found: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        for j in found.tolist():
+            x, y = self.find(root), self.find(self.roots[j])
+            if x != y:
+                self.parent[x] = y
+                yield min(digest, self.digests[j]), max(digest, self.digests[j])
+
+    def meet(self, digest: bytes, root: bytes, s: np.ndarray) -> list[tuple[bytes, bytes]]:
+        if not self.sets or not len(s):
+            return []
+        if self.terms is None:
+            self._index()
+        return list(self._join(digest, root, self.linked(s, len(self.sets))))
+
+    def inside(self) -> list[tuple[bytes, bytes]]:
+        if len(set(self.roots)) < 2:
+            return []
+        self._index()
+        return [x for i, s in enumerate(self.sets) for x in self._join(self.digests[i], self.roots[i], self.linked(s, i))]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,89 +252,117 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _residual(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, best: int = 0) -> DataFrame:
-    """Pairs of different components that share a bucket and whose sketches agree, each from the first band that its members share.
+def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool) -> DataFrame:
+    """(block, held, digest, root) of the nodes that have to be confirmed in a block: those with a partner in another component whose sketch agrees.
 
-    In each bucket, nodes outside the component of its head meet all nodes, in salted blocks of about GROUP rows. With `best`, they meet
-    their own block only, and give the `best` closest pairs there: a cheap round that joins most of what belongs together.
+    In each bucket, nodes outside the component of its head meet all nodes, in salted blocks of about GROUP rows, and a pair counts in the
+    first band that both have. With `closest`, they meet their own block only and ask for the closest partner there: a cheap round that joins
+    most of what belongs together. A block gives at most one row for each node that came into it.
     """
     spark = nodes.sparkSession
-    rows = buckets.join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    per = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min_by("root", "id").alias("main"))
-    per = per.where("low < high").select("band", "main", F.ceil(F.col("n") / GROUP).alias("salts"))
-    rows = rows.join(per, "band").join(nodes, "id")
-    own = F.pmod(F.xxhash64("id"), F.col("salts"))
-    fields = ("id", "root", "sketch", "bands")
-    base = rows.select("band", own.alias("salt"), F.lit(True).alias("base"), *fields)
-    where = F.array(own) if best else F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)
-    minor = rows.where("root <> main").select("band", F.explode(where).alias("salt"), F.lit(False).alias("base"), *fields)
+    rows = buckets.join(comp.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rows = rows.withColumn("__root", F.xxhash64("root"))
+    per = rows.groupBy("band").agg(F.min("__root").alias("low"), F.max("__root").alias("high"), _salts(F.count("*"), F.sum("n_shingles")).alias("salts"), F.min_by("__root", "node").alias("main"))
+    per = per.where("low < high").select("band", "main", "salts")
+    rows = rows.join(per, "band").select("band", "salts", "main", "__root", "digest", "root").join(nodes.select("digest", "sketch", "bands"), "digest")
+    own = F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")
+    major = F.col("__root") == F.col("main")
+    fields = ("digest", "root", "sketch", "bands")
+    base = rows.select("band", own.alias("salt"), F.lit(False).alias("visitor"), major.alias("major"), *fields)
+    where = F.array(own) if closest else F.sequence(F.lit(0), F.col("salts") - 1)
+    minor = rows.where(~major).select("band", F.explode(where).alias("salt"), F.lit(True).alias("visitor"), F.lit(False).alias("major"), *fields)
 
     def meet(batches: Iterator):
         import pyarrow as pa
 
-        group, held, block = None, [], None
+        names = ["band", "salt", "held", "digest", "root"]
+        at, held, asked = None, [], None
+        block: tuple = ()
+
+        def rest(out):
+            if asked is not None:
+                out += [(*at, True, held[j][0], held[j][1]) for j in np.flatnonzero(asked).tolist()]
+
+        def packed(out):
+            columns = list(zip(*out)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+
         for b in batches:
-            out_a, out_b = [], []
-            for band, salt, base, i, root, sketch, bands in zip(*[b.column(c).to_pylist() for c in ("band", "salt", "base", *fields)]):
-                if (band, salt) != group:
-                    group, held, block = (band, salt), [], None
-                bands = np.array(bands, np.int64)
-                if base:  # about GROUP rows come first
-                    held.append((i, root, sketch, bands))
+            out: list[tuple] = []
+            bands = b.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            for k, (band, salt, visitor, major, digest, root, sketch) in enumerate(zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "major", "digest", "root", "sketch")])):
+                if (band, salt) != at:
+                    rest(out)
+                    at, held, asked = (band, salt), [], None
+                if not visitor:  # about GROUP rows come first
+                    held.append((digest, root, major, sketch, bands[k].copy()))
                     continue
-                if block is None:
-                    block = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1), np.array([h[3] for h in held])
-                differing = np.bitwise_count(block[2] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64)
-                close = estimate(differing)
-                near = np.flatnonzero((close >= SKETCH_LEAST) & (block[1] != root))
-                if best:
-                    near = near[np.argsort(-close[near], kind="stable")[:best]]
-                elif len(near):
-                    first = bands[np.argmax(block[3][near] == bands, axis=1)]  # the first band that both have
-                    near = near[first == band]
-                out_a += np.minimum(block[0][near], i).tolist()
-                out_b += np.maximum(block[0][near], i).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                if asked is None:
+                    asked = np.zeros(len(held), bool)
+                    number: dict[bytes, int] = {}
+                    block = np.array([number.setdefault(h[1], len(number)) for h in held]), np.array([h[2] for h in held], bool), np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1), np.array([h[4] for h in held], np.int64).reshape(len(held), -1)
+                close = estimate(np.bitwise_count(block[2] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64)) if len(held) else np.zeros(0)
+                near = np.flatnonzero((close >= SKETCH_LEAST) & (block[0] != number.get(root, -1)))
+                if closest:
+                    near = near[np.argsort(-close[near], kind="stable")[:1]]
+                else:  # of two visitors, each meets the other: the larger one asks
+                    near = near[[block[1][j] or held[j][0] < digest for j in near.tolist()]] if len(near) else near
+                    near = near[bands[k][np.argmax(block[3][near] == bands[k], axis=1)] == band] if len(near) else near
+                if len(near):
+                    asked[near] = True
+                    out.append((band, salt, False, digest, root))
+            yield packed(out)
+        out = []
+        rest(out)
+        yield packed(out)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.unionByName(minor).repartition(n, "band", "salt").sortWithinPartitions("band", "salt", F.col("base").desc())
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    bounded_batches(spark)
+    dealt = base.unionByName(minor).repartition(n, "band", "salt").sortWithinPartitions("band", "salt", "visitor")
+    found = dealt.mapInArrow(meet, "band long, salt int, held boolean, digest binary, root binary")
+    return written(found.select(_block(F.col("band")).alias("block"), "held", "digest", "root"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every row (module docstring)."""
+    """id, mark, n_shingles, component_id, kept of every row (module docstring)."""
     prints = fingerprints(docs, k, key, text)
     some = prints.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    same = some.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    nodes = written(some.join(same, "digest").where("id = rep").groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    exploded = nodes.select("id", F.explode("bands").alias("band"))
-    heads = exploded.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    least = some.groupBy("digest").agg(F.min_by(F.struct("id", "n_shingles", "sketch", "bands"), "id").alias("x"), F.count("*").alias("n"))
+    nodes = written(least.select("digest", F.col("x.id").alias("rep"), "x.n_shingles", "x.sketch", "x.bands", (F.col("n") > 1).alias("twins")))
+    exploded = nodes.select("digest", F.xxhash64("digest").alias("node"), "n_shingles", F.explode("bands").alias("band"))
+    heads = exploded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
     buckets = written(exploded.join(heads, "band"))  # only what shares a band with others
-    votes = buckets.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
-    first = votes.groupBy("id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("a")).select("a", F.col("id").alias("b"))
-    tried = written(first)
-    links = confirmed(docs, tried, k, percent, key, text)
+    votes = buckets.where("node <> head").groupBy("digest", "head", "n_shingles").agg(F.count("*").alias("n"))
+    first = written(votes.groupBy("digest", "n_shingles").agg(F.max_by("head", "n").alias("head")))
+    per = first.groupBy("head").agg(_salts(F.count("*"), F.sum("n_shingles")).alias("salts"))
+    voters = first.join(per, "head").select("head", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int").alias("salt"), "digest")
+    leaders = nodes.select("digest", F.xxhash64("digest").alias("head")).join(per, "head")
+    led = leaders.select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "digest")
+    asked = voters.unionByName(led).select(_block(F.col("head")).alias("block"), F.lit(True).alias("held"), "digest", F.col("digest").alias("root"))
+    links = confirmed(docs, nodes, asked, k, percent, True, key, text)
     comp = written(components(links))
-    for best in (2, 2, 0):  # closest pairs twice, then every pair that is left
-        rest = written(_residual(nodes, buckets.select("id", "band"), comp, best).join(tried, ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            if best:
+    for closest in (True, True, False):  # closest partners twice, then every pair that is left
+        asked = _sifted(nodes, buckets.select("band", "digest", "node", "n_shingles"), comp, closest)
+        if asked.isEmpty():
+            if closest:
                 continue
             break
-        more = confirmed(docs, rest, k, percent, key, text)
-        tried = tried.unionByName(rest)
+        more = confirmed(docs, nodes, asked, k, percent, False, key, text)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = written(components(links))
-    twins = same.where("n > 1").select("digest", "rep")
-    out = prints.select("id", "n_shingles", "digest").join(twins, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.coalesce("root", "rep"))
-    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    label = comp.withColumnRenamed("id", "digest").join(nodes.select("digest", "rep"), "digest")
+    lowest = written(label.groupBy("root").agg(F.min("rep").alias("low")))
+    linked = written(label.join(lowest, "root").select("digest", F.col("low").alias("component")))
+    twins = nodes.where("twins").select("digest", F.col("rep").alias("component")).join(linked.select("digest"), "digest", "left_anti")
+    joined = prints.select("id", "mark", "n_shingles", "digest").join(written(twins.unionByName(linked)), "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return joined.select("id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest id (repeated rows of that id stay; rows without an id stay). Only dropped ids are joined."""
-    gone = written(groups(docs, k, percent, key, text).where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias("__gone")).distinct())
+    """docs without the rows that groups() doesn't keep, but with those that have no id. Only (id, hash of the text) of dropped rows are joined, so
+    that rows with one id and different texts are told apart."""
+    gone = written(groups(docs, k, percent, key, text).where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
     small = gone.limit(2_000_001).count() <= 2_000_000
-    return docs.join(F.broadcast(gone) if small else gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, (F.col(key).cast("long") == F.col("__gone")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")

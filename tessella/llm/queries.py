@@ -60,7 +60,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles are similar to 80 % or more, links confirmed on full sets."""
     from tessella.llm import minhash
 
-    return minhash.groups(table(spark, sf_dir, "documents"), k=4, percent=80).withColumnRenamed("id", "doc_id")
+    return minhash.groups(table(spark, sf_dir, "documents"), k=4, percent=80).drop("mark").withColumnRenamed("id", "doc_id")
 
 
 

@@ -75,3 +75,29 @@ def test_sketches_estimate_similarity():
             a, b = (np.frombuffer(mh.sketch_of(mh.signature(s)), np.uint64) for s in (x[:n], x[n - both :]))
             errors.append(mh.estimate(np.bitwise_count(a ^ b).sum()) - j)
         assert abs(np.mean(errors)) < 0.03 and np.min(errors) > -0.16
+
+
+def test_repeated_ids_are_compared_by_their_own_texts(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(10):
+        one, other = ([f"t{i}{side}{rnd.randint(0, 400)}" for _ in range(60)] for side in "ab")
+        near = [list(one), list(other)]
+        for w in near:
+            w[5] = "edited"
+        rows += [(1000 + i, " ".join(one)), (1000 + i, " ".join(other)), (10 * i, " ".join(near[0])), (10 * i + 1, " ".join(near[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.id, r.component_id) for r in mh.groups(df, 4).collect())
+    assert got == sorted([(1000 + i, 10 * i + x) for i in range(10) for x in (0, 1)] + [(10 * i + x, 10 * i + x) for i in range(10) for x in (0, 1)])
+    both = spark.createDataFrame([(1, rows[0][1]), (3, rows[2][1]), (3, rows[1][1])], "doc_id long, text string")
+    assert sorted(r.text for r in mh.deduplicated(both, 4).collect()) == sorted([rows[0][1], rows[1][1]])
+
+
+def test_a_large_family_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(mh, "GROUP", 64)
+    rnd = random.Random(8)
+    texts = list(family(rnd, 700, 100, 9))
+    rows = list(enumerate(texts))
+    got = sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in mh.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4).collect())
+    want = sorted(brute(rows, 4, 80))
+    assert got == want and 20 < sum(r[3] for r in want) < 680
