@@ -7,7 +7,9 @@ give the ids. No merge loop runs, and time is linear in the piece for a bounded
 
 Pieces come from the tokenizer file's own split pattern; they and their ids are memoised per worker, within bounds.
 Defined cases: null is encoded as the empty text (no ids); ids out of the vocabulary raise KeyError on decoding; invalid
-UTF-8 after decoding becomes U+FFFD; special tokens in a text are taken as such, as the file's library does by default.
+UTF-8 after decoding becomes U+FFFD; special tokens in a text are taken as such, as the file's library does by default. A text of any
+length is encoded whole, repeated rows each, an empty table gives an empty table; `encoded` and `decoded` pass other columns through and replace one
+that has the name of theirs.
 """
 
 from __future__ import annotations
@@ -356,22 +358,25 @@ class ByteBPE:
         at, columns, lines = sizes.copy(), [], np.arange(len(order))
         while at.any():
             token = np.where(at > 0, last[at, lines], -1)
+            at = np.where(token < 0, 0, at)  # a prefix that only a token outside the table can end
             columns.append(token)
             at -= np.where(at > 0, self.sizes[token], 0)
         out: list[tuple[int, ...]] = [()] * len(pieces)
         for i, row in zip(order, np.stack(columns[::-1], 1).tolist(), strict=True):
-            out[i] = tuple(t for t in row if t >= 0)
+            ids = tuple(t for t in row if t >= 0)
+            # Hashes name the matches; bytes prove them. What fails goes through the automaton.
+            out[i] = ids if b"".join(map(self.bytes_of.__getitem__, ids)) == pieces[i] else tuple(self.piece(pieces[i]))
         return out
 
     def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """compatible() of many pairs, over a direct-mapped cache."""
-        key = left << 17 | right
-        slot = (key * 0x9E3779B1 >> 7) & (len(self.pair_keys) - 1)
+        key = left << 32 | right
+        slot = ((left * 0x9E3779B1 ^ right * 0x85EBCA6B) >> 7) & (len(self.pair_keys) - 1)
         strange = np.flatnonzero(self.pair_keys[slot] != key)
         out = self.pair_fits[slot]
         if len(strange):
             unknown, back = np.unique(key[strange], return_inverse=True)
-            known = np.array([self.compatible(k >> 17, k & 0x1FFFF) for k in unknown.tolist()], bool)
+            known = np.array([self.compatible(k >> 32, k & 0xFFFFFFFF) for k in unknown.tolist()], bool)
             out[strange] = known[back]
             self.pair_keys[slot[strange]], self.pair_fits[slot[strange]] = key[strange], known[back]
             # two new keys of one slot: the last write holds for both arrays, since it is the same index order

@@ -3,19 +3,22 @@
 Training documents are cut into segments; each segment is one stored row: its documents, its terms (sorted 64-bit word hashes), and for each
 term the sorted positions of its tokens in the segment. Documents lie at a distance in that numbering, so no phrase crosses a border.
 A test window is looked up by its rarest term in the segment; the offset-adjusted lists of the other terms, rarest first, are intersected with it.
-`slop` > 0 also gives proximity matches: the window's words in order, with up to `slop` other words between them in all.
+`slop` > 0 also gives proximity matches: the window's words in order, with up to `slop` other words between them in all. One of slop + 1 parts of
+such a window stands unbroken, so the parts are looked up first, and the rest is sought around them.
 
 Test items go to the segments in blocks of bounded size, so neither side has to be small.
 Defined cases: null texts have no words; items without words match nothing; an item shorter than a window is one window; rows with the
-same doc_id are separate documents; equal items each report; very long documents are segments of their own.
+same doc_id are separate documents, each reported; equal items each report, those of one item_id as one; items without an id aren't sought; very
+long documents are segments of their own; an empty table of documents gives no rows, one of items no hits; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +27,22 @@ from tessella.llm.common import WordHashes, bounded_batches, texts_of, written
 #: Separators of words are the ASCII characters outside 0-9, A-Z, a-z; A-Z is lowered.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
+#: Words between those of a window in a proximity match, in all.
+SLOP = 1
 #: Tokens in a segment, about; and words of test items in a block.
 SEGMENT_TOKENS = 1 << 20
 BLOCK_WORDS = 1 << 20
 #: Free positions between documents, more than any slop.
 GAP = 64
 
-INDEX_SCHEMA = "docs binary, sizes binary, terms binary, starts binary, positions binary"
+INDEX_SCHEMA = "segment long, docs binary, marks binary, sizes binary, terms binary, starts binary, positions binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
-def _segment(ids: list[int | None], hashes: list[np.ndarray]) -> dict[str, bytes]:
+def _segment(ids: list[int | None], marks: list[int], hashes: list[np.ndarray]) -> dict[str, bytes]:
     sizes = np.array([len(h) for h in hashes], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]])
     tokens = np.concatenate(hashes)
@@ -47,6 +52,7 @@ def _segment(ids: list[int | None], hashes: list[np.ndarray]) -> dict[str, bytes
     known = np.array([i is not None for i in ids])
     return {
         "docs": np.array([i if i is not None else 0 for i in ids], np.int64).tobytes() + known.tobytes(),
+        "marks": np.array(marks, np.int64).tobytes(),
         "sizes": sizes.tobytes(),
         "terms": terms.tobytes(),
         "starts": np.append(starts, len(tokens)).astype(np.uint32).tobytes(),
@@ -60,20 +66,22 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator):
         import pyarrow as pa
 
-        words, ids, hashes, n = WordHashes(), [], [], 0
+        words, ids, marks, hashes, n = WordHashes(), [], [], [], 0
         names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
+        numbers = count(TaskContext.get().partitionId() << 32)  # of the segments: the same when a task runs again
 
         def batch():
-            row = _segment(ids, hashes)
-            return pa.RecordBatch.from_arrays([pa.array([row[c]], pa.binary()) for c in names], names=names)
+            row = _segment(ids, marks, hashes)
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *[pa.array([row[c]], pa.binary()) for c in names[1:]]], names=names)
 
         for b in batches:
-            for i, t in zip(b.column(key).to_pylist(), texts_of(b, text), strict=True):
+            for i, mark, t in zip(b.column(key).to_pylist(), b.column("__mark").to_pylist(), texts_of(b, text), strict=True):
                 h = words.of(words_of(t))
                 if ids and n + len(h) > SEGMENT_TOKENS:
                     yield batch()
-                    ids, hashes, n = [], [], 0
+                    ids, marks, hashes, n = [], [], [], 0
                 ids.append(i)
+                marks.append(mark)
                 hashes.append(h)
                 n += len(h) + GAP
             words.trim()
@@ -81,7 +89,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield batch()
 
     bounded_batches(docs.sparkSession)
-    return written(docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, INDEX_SCHEMA))
+    return written(docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("__mark")).mapInArrow(run, INDEX_SCHEMA))
 
 
 class Segment:
@@ -92,6 +100,7 @@ class Segment:
         n = len(self.sizes)
         self.ids = np.frombuffer(row["docs"][: 8 * n], np.int64)
         self.known = np.frombuffer(row["docs"][8 * n :], bool)
+        self.marks = np.frombuffer(row["marks"], np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.sizes + GAP)[:-1]]).astype(np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], np.uint32).astype(np.int64)
@@ -124,42 +133,56 @@ class Segment:
                 found = found[p[at] == found + k]
         return found
 
-    def near(self, terms: np.ndarray, slop: int) -> list[tuple[int, int]]:
-        """(start, end) of ordered occurrences with up to slop other words between; the earliest end for each start."""
-        out = []
-        for start in self.postings(terms[0]).tolist():
-            at = start
-            for k in range(1, len(terms)):
-                p = self.postings(terms[k])
-                j = int(np.searchsorted(p, at, side="right"))
-                if j == len(p) or p[j] - start > k + slop:
-                    break
-                at = int(p[j])
-            else:
-                out.append((start, at + 1))
-        return out
+    def near(self, terms: np.ndarray, starts: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences that may begin at `starts`: (starts, ends) of those with the terms in order and up to slop other words between; the earliest ends."""
+        first = self.postings(terms[0])
+        starts = np.unique(starts)
+        at = np.minimum(np.searchsorted(first, starts), len(first) - 1)
+        begin = starts[first[at] == starts]
+        last = begin.copy()
+        for k in range(1, len(terms)):
+            p = np.append(self.postings(terms[k]).astype(np.int64), 1 << 40)
+            last = p[np.searchsorted(p, last, side="right")]
+            fine = last - begin <= k + slop
+            begin, last = begin[fine], last[fine]
+            if not len(begin):
+                break
+        return begin, last + 1
 
-    def search(self, items: list[tuple[int, np.ndarray]], window: int, slop: int = 0) -> tuple[np.ndarray, set[tuple[int, int]]]:
-        """Hit positions as a mask over the segment, and (document number, item) pairs."""
+    def search(self, items: list[tuple[int, np.ndarray]], window: int, slop: int = 0) -> tuple[np.ndarray, set[tuple[int, int]], set[tuple[int, int]]]:
+        """Hit positions as a mask over the segment, (document number, item) pairs, and those with a proximity match."""
         edges = np.zeros(self.length + 1, np.int32)
         pairs: set[tuple[int, int]] = set()
+        close: set[tuple[int, int]] = set()
+        documents = lambda begins: np.unique(np.searchsorted(self.base, begins, side="right") - 1).tolist()
         for item, words in items:
             terms = self.numbers(words)
             counts = np.where(terms >= 0, np.diff(self.starts)[terms] if len(self.terms) else 0, 0)
             width = min(window, len(words))
             absent = np.concatenate([[0], np.cumsum(terms < 0)])
+            cuts = [width * k // (slop + 1) for k in range(slop + 2)]  # parts of a window, one of which stands unbroken
+            memo: dict[tuple[int, int], np.ndarray] = {}
+
+            def part(x: int, y: int) -> np.ndarray:
+                if (x, y) not in memo:
+                    memo[x, y] = self.phrase(terms[x:y], counts[x:y])
+                return memo[x, y]
+
             for s in np.flatnonzero(absent[width:] == absent[:-width]).tolist():
-                if slop:
-                    found = self.near(terms[s : s + width], slop)
-                    begins, ends = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
-                else:
-                    begins = self.phrase(terms[s : s + width], counts[s : s + width])
-                    ends = begins + width
+                found = [part(s + x, s + y) for x, y in zip(cuts, cuts[1:]) if x < y]
+                if not any(map(len, found)):
+                    continue
+                begins = found[0] if slop == 0 else self.phrase(terms[s : s + width], counts[s : s + width]) if all(map(len, found)) else found[0][:0]
                 if len(begins):
                     np.add.at(edges, begins, 1)
-                    np.add.at(edges, ends, -1)
-                    pairs.update((d, item) for d in np.unique(np.searchsorted(self.base, begins, side="right") - 1).tolist())
-        return np.cumsum(edges)[:-1] > 0 if self.length else np.zeros(0, bool), pairs
+                    np.add.at(edges, begins + width, -1)
+                    pairs.update((d, item) for d in documents(begins))
+                if slop:
+                    maybe = np.concatenate([f - x - d for f, x in zip(found, [x for x, y in zip(cuts, cuts[1:]) if x < y]) for d in range(slop + 1)])
+                    loose, _ = self.near(terms[s : s + width], maybe[maybe >= 0], slop)
+                    if len(loose):
+                        close.update((d, item) for d in documents(loose))
+        return (np.cumsum(edges)[:-1] > 0 if self.length else np.zeros(0, bool)), pairs, close
 
 
 def _searcher(items: list[tuple[int, np.ndarray]], window: int, slop: int):
@@ -169,20 +192,22 @@ def _searcher(items: list[tuple[int, np.ndarray]], window: int, slop: int):
         for b in batches:
             for row in b.to_pylist():
                 seg = Segment(row)
-                mask, pairs = seg.search(items, window, slop)
+                mask, pairs, close = seg.search(items, window, slop)
                 of: dict[int, list[int]] = {}
-                for d, item in pairs:
-                    of.setdefault(d, []).append(item)
-                segment = hashlib.blake2b(row["docs"] + row["sizes"] + row["terms"], digest_size=16).digest()
-                out = {"segment": [segment] * len(seg.sizes), "number": range(len(seg.sizes)), "doc_id": [i if k else None for i, k in zip(seg.ids.tolist(), seg.known.tolist())], "n_words": seg.sizes.tolist()}
+                near: dict[int, list[int]] = {}
+                for by, found in ((of, pairs), (near, close)):
+                    for d, item in found:
+                        by.setdefault(d, []).append(item)
+                out = {"segment": [row["segment"]] * len(seg.sizes), "number": range(len(seg.sizes)), "doc_id": [i if k else None for i, k in zip(seg.ids.tolist(), seg.known.tolist())], "mark": seg.marks, "n_words": seg.sizes.tolist()}
                 out["hits"] = [np.packbits(mask[o : o + n]).tobytes() if d in of else b"" for d, (o, n) in enumerate(zip(seg.base.tolist(), seg.sizes.tolist()))]
                 out["items"] = [sorted(of.get(d, ())) for d in range(len(seg.sizes))]
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("segment", pa.binary()), ("number", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64()))]))
+                out["near"] = [sorted(near.get(d, ())) for d in range(len(seg.sizes))]
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("segment", pa.int64()), ("number", pa.int32()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))]))
 
     return run
 
 
-FOUND_SCHEMA = "segment binary, number int, doc_id long, n_words long, hits binary, items array<bigint>"
+FOUND_SCHEMA = "segment long, number int, doc_id long, mark long, n_words long, hits binary, items array<bigint>, near array<bigint>"
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -202,7 +227,7 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[in
 
 
 def find(index: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Per indexed document: segment, number, doc_id, n_words, hits (bits of hit words), items (sorted distinct ids)."""
+    """Per indexed document: segment, number, doc_id, n_words, hits (bits of hit words), items (sorted distinct ids), near (those with a proximity match)."""
     spark = index.sparkSession
     bounded_batches(spark)  # a segment is one row of some MB, so few come at once
     parts = [index.mapInArrow(_searcher(block, window, slop), FOUND_SCHEMA) for block in item_blocks(items, key, text)]
@@ -227,19 +252,19 @@ def find(index: DataFrame, items: DataFrame, key: str = "item_id", text: str = "
                     if h:
                         acc |= np.frombuffer(h, np.uint8)
                 hits.append(acc.tobytes() if acc.any() else b"")
-            names = ["segment", "number", "doc_id", "n_words"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(hits, pa.binary()), b.column("items")], names=[*names, "hits", "items"])
+            names = ["segment", "number", "doc_id", "mark", "n_words"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(hits, pa.binary()), b.column("items"), b.column("near")], names=[*names, "hits", "items", "near"])
 
     return (
         both.groupBy("segment", "number")  # as many rows as blocks
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("all_hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("all_hits"), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near")])
         .mapInArrow(merge, FOUND_SCHEMA)
     )
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of every document."""
-    found = find(build_index(docs), items, window=window)
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near (items with a window in order and up to slop words between) of every document."""
+    found = find(build_index(docs), items, window=window, slop=slop)
     return found.select(
         "doc_id",
         "n_words",
@@ -248,6 +273,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"),
         "items",
+        "near",
     )
 
 
@@ -259,13 +285,13 @@ def _bits(hits):
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose text contains a window of an item. Only the ids of contaminated rows are joined."""
-    index = build_index(docs, key)
-    bad = written(find(index, items, window=window).where(F.size("items") > 0).select(F.col("doc_id").alias("__bad")).distinct())
+    """docs without the rows whose text contains a window of an item. Only (id, hash of the text) of contaminated rows are joined, so that rows
+    without an id and rows of one id with different texts are told apart."""
+    bad = written(find(build_index(docs, key), items, window=window).where(F.size("items") > 0).select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct())
     if bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(key).cast("long") == F.col("__bad"), "left_anti")
+    return docs.join(bad, (F.xxhash64("text") == F.col("__mark")) & F.col(key).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
 
-#: Ids (8 bytes each) up to this many are broadcast; beyond it, Spark joins by shuffle.
+#: Ids (16 bytes each, with the hashes) up to this many are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_IDS = 2_000_000

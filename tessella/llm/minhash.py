@@ -5,7 +5,7 @@
    node, named by the digest, from here on.
 2. Nodes that vote for one head (the smallest node of a band they share) are confirmed against each other and it, in salted blocks.
 3. Band buckets that still hold several components are compared block by block in numpy: nodes outside the bucket's main component
-   against all. Nodes with a partner in another component whose sketch agrees are asked for, first with their closest partner only (twice), then
+   against all. Nodes with a partner in another component whose sketch agrees are asked for, first with their closest partner only, then
    with every one. So no link between components is lost.
 4. Blocks confirm on full sets over an inverted list, and give only links that join two of their components: fewer than the block has nodes, so
    what is made grows with the rows of a family and not with its pairs. A set is sent once per block.
@@ -341,7 +341,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     asked = voters.unionByName(led).select(_block(F.col("head")).alias("block"), F.lit(True).alias("held"), "digest", F.col("digest").alias("root"))
     links = confirmed(docs, nodes, asked, k, percent, True, key, text)
     comp = written(components(links))
-    for closest in (True, True, False):  # closest partners twice, then every pair that is left
+    for closest in (True, False):  # closest partners, then every pair that is left
         asked = _sifted(nodes, buckets.select("band", "digest", "node", "n_shingles"), comp, closest)
         if asked.isEmpty():
             if closest:

@@ -31,10 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact 10-word windows of the benchmark items in every document, over a stored positional index."""
+    """Exact 10-word windows of the benchmark items in every document, over a stored positional index; n_near_items also counts items with one word put between."""
     from tessella.llm import decontam
 
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items").withColumn("n_near_items", F.size("near").cast("long")).drop("near")
 
 
 
@@ -119,7 +119,9 @@ dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7
 g as (select doc_id, m, s, array_to_string(w[s : s + m - 1], ' ') g from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) s from dw, (select distinct m from iw) where len(w) >= m)),
 hit as (select doc_id, s, m, item_id from g join iw using (m, g)),
 pos as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + m)) p from hit) group by doc_id),
-its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from hit group by doc_id)
-select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from dw left join pos using (doc_id) left join its using (doc_id)""",
+its as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from hit group by doc_id),
+loose as (select doc_id, m, array_to_string(list_concat(w[s : s + d - 1], w[s + d + 1 : s + m]), ' ') g from (select *, unnest(range(1, m)) d from (select doc_id, w, m, unnest(range(1, len(w) - m + 1)) s from dw, (select distinct m from iw) where len(w) > m))),
+close as (select doc_id, count(distinct item_id) n_near_items from (select doc_id, item_id from hit union all select doc_id, item_id from loose join iw using (m, g)) group by doc_id)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near_items, 0) n_near_items
+from dw left join pos using (doc_id) left join its using (doc_id) left join close using (doc_id)""",
 }

@@ -9,7 +9,8 @@ Since each of the rules has its own share of the risk, all of them together lose
 
 Defined cases: a null or empty text has no words and fails the base rule; rows without or with null labels don't count;
 of repeated labels for an id, a row is good if most say so; a stratum without enough labels has no certified cutoff, so only the base
-rule holds there; a null stratum value is a stratum of its own. Other columns are passed through, clashing ones win over ours only in `annotate`.
+rule holds there; a null stratum value is a stratum of its own; a text of any length is measured whole; repeated rows are judged each; an empty
+table of documents gives an empty one, one of labels no cutoffs. `judge` replaces columns of the names it gives, `clean` leaves all as they are.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str | None = "lang", k
             F.count_if(~F.col("good") & ~F.col("base_failed") & F.col("g.out")).alias("caught"),
         )
     )
-    strata = cells.select(F.count_distinct("stratum").alias("n_strata"))
+    strata = cells.select("stratum").distinct().agg(F.count("*").alias("n_strata"))  # null is one of them
     tested = cells.crossJoin(F.broadcast(strata)).withColumn(  # strata: one row
         "ok", _certified(F.col("n"), F.col("lost"), F.lit(risk / len(RULES)), F.lit(delta / len(RULES)) / F.greatest(F.col("n_strata"), F.lit(1)))
     )
@@ -194,11 +195,26 @@ def judge_statistics(docs: DataFrame, labels: DataFrame, stratum: str | None = "
     return apply_cutoffs(stats, written(cutoffs(stats, labels, stratum, key, quality_name(labels), risk, delta)), stratum)
 
 
+def judged(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """`row` (a struct of docs' columns), key as __key, stratum as __stratum, STATISTICS and kept of every row. The texts are measured once, and wait for their
+    verdict in the shared folder; they are never shuffled."""
+    by = F.col(stratum).cast("string") if stratum else F.lit("all")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("__key"), by.alias("__stratum"), statistics(F.col(text)).alias("__stats"))
+    held = written(rows.select("row", "__key", "__stratum", "__stats.*"))
+    cut = written(cutoffs(held.drop("row"), labels.withColumnRenamed(key, "__key"), "__stratum", "__key", quality_name(labels), risk, delta))
+    return apply_cutoffs(held, cut, "__stratum")
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """docs (all columns) with STATISTICS and kept. Measures the texts twice rather than shuffle them to their verdicts."""
-    stats = measured(docs, stratum, key, text)
-    cut = written(cutoffs(stats, labels, stratum, key, quality_name(labels), risk, delta))
-    return apply_cutoffs(annotate(docs, text), cut, stratum)
+    """docs (all columns) with STATISTICS and kept; existing columns of these names are replaced."""
+    ours = (*STATISTICS, "kept")
+    out = judged(docs, labels, stratum, key, text, risk, delta)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ours], *ours)
+
+
+def clean(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", key: str = "doc_id", text: str = "text", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that are kept, with all of their columns as they were."""
+    return judged(docs, labels, stratum, key, text, risk, delta).where("kept").select("row.*")
 
 
 def quality_name(labels: DataFrame) -> str:

@@ -47,3 +47,65 @@ def test_verdicts(spark):
     none = rules.judge(docs, labels.limit(0)).collect()
     assert all(r.kept for r in none) and len(none) == 4000
     assert rules.judge(docs.limit(0), labels).count() == 0
+
+
+def test_a_null_stratum_counts_in_the_division(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60)), None if i % 2 else "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    cut = rules.cutoffs(rules.measured(docs), labels)
+    assert sorted((r.stratum for r in cut.collect()), key=str) == [None, "en"]
+    assert len(set(map(str, (r[1:] for r in cut.collect())))) == 1
+
+
+def test_clean_leaves_columns_as_they_are(spark):
+    text = " ".join(f"w{j}" for j in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "mine", False, 3), (2, "short", "en", "x", True, 4), (1, text, None, None, None, None)], "doc_id long, text string, lang string, n_words string, kept boolean, __key int")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = rules.clean(docs, labels)
+    assert out.columns == docs.columns and sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, text, "en", "mine", False, 3), (1, text, None, None, None, None)], key=str)
+
+
+def cutoffs_by_hand(rows, risk=0.02, delta=0.05):
+    """rows: (stratum, good, ratios by rule), base failures left out -> stratum -> rule -> cutoff."""
+    strata = {s for s, _, _ in rows}
+    level = delta / len(rules.RULES) / len(strata)
+    out = {}
+    for s in strata:
+        for rule in rules.RULES:
+            good = [r[rule] for x, g, r in rows if x == s and g]
+            bad = [r[rule] for x, g, r in rows if x == s and not g]
+            best = None
+            for k, c in enumerate(rules.GRIDS[rule]):
+                lost, p = sum(x > c for x in good), risk / len(rules.RULES)
+                if not good or sum(math.comb(len(good), j) * p**j * (1 - p) ** (len(good) - j) for j in range(lost + 1)) > level:
+                    break
+                caught = sum(x > c for x in bad)
+                if caught and (best is None or caught > best[0]):
+                    best = (caught, c)
+            out.setdefault(s, {})[rule] = best and best[1]
+    return out
+
+
+def test_cutoffs_and_verdicts_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    docs, labels = [], []
+    for i in range(3000):
+        junk = rnd.random() < 0.2
+        words = [f"w{rnd.randint(0, 10**6)}" + ("*" if junk and rnd.random() < 0.7 else "") + ("!" if rnd.random() < 0.05 else "") for _ in range(rnd.randint(51, 70))]
+        lang = ("en", "de", None)[0 if i < 2000 else 1 + i % 2]
+        docs.append((i, " ".join(words), lang))
+        labels.append((i, int(not junk)))
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def ratios(t):
+        n, chars, symbols, dup, repeat, _ = brute(t)
+        lines = [x for x in t.split("\n") if x.strip()]
+        return {"symbol_ratio": symbols / n, "shout_ratio": len(re.findall("[!?]", t)) / n, "dup_line_ratio": dup / max(len(lines), 1), "repeat_ratio": repeat / n, "long_words": chars / n}
+
+    want = cutoffs_by_hand([(lang, labels[i][1], ratios(t)) for i, t, lang in docs])
+    got = {r.stratum: {x: r[f"cut_{x}"] for x in rules.RULES} for r in rules.cutoffs(rules.measured(df), lb).collect()}
+    assert got == want and any(want["en"].values())
+    kept = {r.doc_id: r.kept for r in rules.judge_statistics(df, lb).collect()}
+    assert kept == {i: not any(want[lang][x] is not None and v > want[lang][x] for x, v in ratios(t).items()) for i, t, lang in docs}
