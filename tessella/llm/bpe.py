@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import MEMO_ENTRIES, bounded_batches, texts_of
+from tessella.llm.common import MEMO_ENTRIES, bounded_batches, texts_of, turn
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,19 +55,19 @@ class Memo(dict):
 
 
 class SuffixMatches:
-    """Automaton with suffix links over the vocabulary: step[state, byte] and, for each state, the tokens that end there, longest first."""
+    """Automaton with suffix links over the vocabulary: step[state << 8 | byte] and, for each state, the tokens that end there, longest first."""
 
     def __init__(self, tokens: dict[bytes, int]):
         self.size = {i: len(b) for b, i in tokens.items()}
-        child: dict[tuple[int, int], int] = {}
+        child: dict[int, int] = {}  # state << 8 | byte
         ends: list[int] = [-1]
         depth_order: list[list[tuple[int, int, int]]] = []
         for word, token in tokens.items():
             state = 0
             for depth, byte in enumerate(word):
-                after = child.get((state, byte))
+                after = child.get(state << 8 | byte)
                 if after is None:
-                    after = child[state, byte] = len(ends)
+                    after = child[state << 8 | byte] = len(ends)
                     ends.append(-1)
                     while len(depth_order) <= depth:
                         depth_order.append([])
@@ -80,25 +80,25 @@ class SuffixMatches:
             for state, byte, after in level:
                 if state:
                     s = link[state]
-                    while s and (s, byte) not in child:
+                    while s and s << 8 | byte not in child:
                         s = link[s]
-                    link[after] = child.get((s, byte), 0)
+                    link[after] = child.get(s << 8 | byte, 0)
                 own = ((depth + 1, ends[after]),) if ends[after] >= 0 else ()
                 self.matches[after] = own + self.matches[link[after]]
         self.step = Steps(child, link)
 
 
 class Steps(dict):
-    """(state, byte) -> state; the ways over suffix links are filled in on demand."""
+    """state << 8 | byte -> state; the ways over suffix links are filled in on demand."""
 
-    def __init__(self, child: dict[tuple[int, int], int], link: list[int]):
+    def __init__(self, child: dict[int, int], link: list[int]):
         super().__init__(child)
         self.link = link
 
-    def __missing__(self, key: tuple[int, int]) -> int:
-        state, byte = key
-        after = self[self.link[state], byte] if state else 0
-        if len(self) < 2_000_000:
+    def __missing__(self, key: int) -> int:
+        state, byte = key >> 8, key & 255
+        after = self[self.link[state] << 8 | byte] if state else 0
+        if len(self) < 1_000_000:
             self[key] = after
         return after
 
@@ -251,7 +251,7 @@ class ByteBPE:
         if n > 48:
             last, state = [-1] * (n + 1), 0
             for end in range(1, n + 1):
-                state = step[state, data[end - 1]]
+                state = step[state << 8 | data[end - 1]]
                 last[end] = self.last_token(state, end, last.__getitem__)
             while n:
                 out.append(last[n])
@@ -264,7 +264,7 @@ class ByteBPE:
                 key = node << 8 | byte
                 node = child.get(key, 0)
                 if not node:
-                    state = step[self.states[path[-1]], byte]
+                    state = step[self.states[path[-1]] << 8 | byte]
                     node = child[key] = len(last)
                     last.append(self.last_token(state, end, lambda i: last[path[i]]))
                     self.states.append(state)
@@ -419,6 +419,7 @@ def _digests(path: str):
     def run(batches: Iterator):
         import pyarrow as pa
 
+        turn("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
@@ -448,6 +449,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
     def run(batches):
         import pyarrow as pa
 
+        turn("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for b in batches:
             got = pa.array(list(bpe.encode_many([t.decode() for t in texts_of(b, text)])), pa.list_(pa.int32()))
@@ -467,6 +469,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "t
     def run(batches):
         import pyarrow as pa
 
+        turn("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for b in batches:
             got = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, bounded_batches, texts_of, written
+from tessella.llm.common import Words, bounded_batches, texts_of, turn, written
 
 #: Separators of words are the ASCII characters outside 0-9, A-Z, a-z; A-Z is lowered.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,8 +38,7 @@ GAP = 64
 INDEX_SCHEMA = "segment long, docs binary, marks binary, sizes binary, terms binary, starts binary, positions binary"
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(TO_WORDS).split()
+WORDS = Words(TO_WORDS)
 
 
 def _segment(ids: list[int | None], marks: list[int], hashes: list[np.ndarray]) -> dict[str, bytes]:
@@ -66,7 +65,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator):
         import pyarrow as pa
 
-        words, ids, marks, hashes, n = WordHashes(), [], [], [], 0
+        turn("decontam")
+        ids, marks, hashes, n = [], [], [], 0
         names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
         numbers = count(TaskContext.get().partitionId() << 32)  # of the segments: the same when a task runs again
 
@@ -75,8 +75,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *[pa.array([row[c]], pa.binary()) for c in names[1:]]], names=names)
 
         for b in batches:
-            for i, mark, t in zip(b.column(key).to_pylist(), b.column("__mark").to_pylist(), texts_of(b, text), strict=True):
-                h = words.of(words_of(t))
+            for i, mark, h in zip(b.column(key).to_pylist(), b.column("__mark").to_pylist(), WORDS.of(texts_of(b, text)), strict=True):
                 if ids and n + len(h) > SEGMENT_TOKENS:
                     yield batch()
                     ids, marks, hashes, n = [], [], [], 0
@@ -84,7 +83,6 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 marks.append(mark)
                 hashes.append(h)
                 n += len(h) + GAP
-            words.trim()
         if ids:
             yield batch()
 
@@ -189,6 +187,7 @@ def _searcher(items: list[tuple[int, np.ndarray]], window: int, slop: int):
     def run(batches: Iterator):
         import pyarrow as pa
 
+        turn("decontam")
         for b in batches:
             for row in b.to_pylist():
                 seg = Segment(row)
@@ -212,10 +211,9 @@ FOUND_SCHEMA = "segment long, number int, doc_id long, mark long, n_words long,
 
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items' word hashes in blocks of about BLOCK_WORDS words, streamed to the driver one partition at a time."""
-    words, block, n = WordHashes(), [], 0
+    block, n = [], 0
     for r in items.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull()).toLocalIterator():
-        h = words.of(words_of((r.t or "").encode()))
-        words.trim()
+        (h,) = WORDS.of([(r.t or "").encode()])
         if len(h):
             block.append((r.i, h))
             n += len(h)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, bounded_batches, discard, mixed, odd_multipliers, shared_folder, shingles, texts_of, written
+from tessella.llm.common import BLANK_WORDS, bounded_batches, discard, mixed, odd_multipliers, shared_folder, shingles, texts_of, turn, written
 
 BANDS, ROWS = 40, 5
 #: Bits of an odd sketch, and the estimated similarity under which a pair isn't compared further (4 standard deviations below 0.8).
@@ -71,10 +71,9 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS / (4 * BANDS * ROWS) * np.log(np.maximum(share, 1e-9))
 
 
-def sets_of(texts: list[bytes], k: int, words: WordHashes) -> Iterator[np.ndarray]:
-    for t in texts:
-        yield shingles(words.of(t.lower().split()), k)
-    words.trim()
+def sets_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    for h in BLANK_WORDS.of(texts):
+        yield shingles(h, k)
 
 
 def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,10 +82,10 @@ def fingerprints(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text
     def run(batches: Iterator):
         import pyarrow as pa
 
-        words = WordHashes()
+        turn("minhash")
         for b in batches:
             n, digest, sketch, bands, memo = [], [], [], [], {}
-            for s in sets_of(texts_of(b, text), k, words):
+            for s in sets_of(texts_of(b, text), k):
                 n.append(len(s))
                 d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 if d is not None and d not in memo:
@@ -127,9 +126,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, perce
     def send(batches: Iterator):
         import pyarrow as pa
 
-        words = WordHashes()
+        turn("minhash")
         for b in batches:
-            for digest, s, blocks in zip(b.column("digest").to_pylist(), sets_of(texts_of(b), k, words), b.column("blocks").to_pylist(), strict=True):
+            for digest, s, blocks in zip(b.column("digest").to_pylist(), sets_of(texts_of(b), k), b.column("blocks").to_pylist(), strict=True):
                 data = s.tobytes()
                 if xxhash.xxh3_128_digest(data) != digest:  # another text under the same id
                     continue
@@ -144,6 +143,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, perce
     def compare(batches: Iterator):
         import pyarrow as pa
 
+        turn("minhash")
         block, at = None, None
         for b in batches:
             out: list[tuple[bytes, bytes]] = []

@@ -53,12 +53,12 @@ def test_report_matches_brute_force(spark, monkeypatch):
 def test_proximity():
     import numpy as np
 
-    h = dc.WordHashes()
-    seg = dc.Segment(dc._segment([5, 6], [1, 2], [h.of(b"a q b r c".split()), h.of(b"a b x y z c".split())]))
+    h = lambda t: next(dc.WORDS.of([t]))
+    seg = dc.Segment(dc._segment([5, 6], [1, 2], [h(b"a q b r c"), h(b"a b x y z c")]))
     for slop, want in ((0, set()), (2, {(0, 1)}), (3, {(0, 1), (1, 1)})):
-        _, pairs, close = seg.search([(1, h.of(b"a b c".split()))], 10, slop)
+        _, pairs, close = seg.search([(1, h(b"a b c"))], 10, slop)
         assert close == want and not pairs
-    assert np.array_equal(seg.phrase(seg.numbers(h.of(b"a b".split())), np.array([2, 2])), [seg.base[1]])
+    assert np.array_equal(seg.phrase(seg.numbers(h(b"a b")), np.array([2, 2])), [seg.base[1]])
 
 
 def test_proximity_matches_brute_force(spark):
