@@ -263,7 +263,7 @@ def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool
     rows = buckets.join(comp.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     rows = rows.withColumn("__root", F.xxhash64("root"))
     per = rows.groupBy("band").agg(F.min("__root").alias("low"), F.max("__root").alias("high"), _salts(F.count("*"), F.sum("n_shingles")).alias("salts"), F.min_by("__root", "node").alias("main"))
-    per = per.where("low < high").select("band", "main", "salts")
+    per = written(per.where("low < high").select("band", "main", "salts"))
     rows = rows.join(per, "band").select("band", "salts", "main", "__root", "digest", "root").join(nodes.select("digest", "sketch", "bands"), "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")
     major = F.col("__root") == F.col("main")
@@ -330,7 +330,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     least = some.groupBy("digest").agg(F.min_by(F.struct("id", "n_shingles", "sketch", "bands"), "id").alias("x"), F.count("*").alias("n"))
     nodes = written(least.select("digest", F.col("x.id").alias("rep"), "x.n_shingles", "x.sketch", "x.bands", (F.col("n") > 1).alias("twins")))
     exploded = nodes.select("digest", F.xxhash64("digest").alias("node"), "n_shingles", F.explode("bands").alias("band"))
-    heads = exploded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    heads = written(exploded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
     buckets = written(exploded.join(heads, "band"))  # only what shares a band with others
     votes = buckets.where("node <> head").groupBy("digest", "head", "n_shingles").agg(F.count("*").alias("n"))
     first = written(votes.groupBy("digest", "n_shingles").agg(F.max_by("head", "n").alias("head")))
