@@ -71,7 +71,7 @@ OTHER = (
 FAMILIES = tuple(NAMES)
 #: Words that alone say nothing about a licence.
 COMMON = "the of to and a in is this that be are on at or for from with by as it an was you may not any all under use see file made code".split()
-#: n-grams of the model that a paragraph needs at least, to be scored; others are other text.
+#: Different n-grams of the model that a window or line needs, to be scored: one alone is no evidence, as the German word "mit" shows.
 LEAST_HITS = 2
 #: Words of a window, over twice a template's; each starts half a window after the one before.
 WINDOW = 60
@@ -89,12 +89,16 @@ def grams(text: Column) -> Column:
     return grams_of(words_of(text))
 
 
-def grams_of(words: Column) -> Column:
+def _plain_grams(words: Column) -> Column:
     both = lambda w: F.concat(
         F.transform(w, lambda x: F.xxhash64(x)),
         F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.expr("cast(array() as array<bigint>)")),
     )
-    return F.array_distinct(F.element_at(F.transform(F.array(words), both), 1))
+    return F.element_at(F.transform(F.array(words), both), 1)
+
+
+def grams_of(words: Column) -> Column:
+    return F.array_distinct(_plain_grams(words))
 
 
 def statements() -> list[tuple[str, int, bool]]:
@@ -195,12 +199,23 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Mod
     paragraphs = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n[ \t\r\f]*\n"), filled)
 
     def units(p: Column, k: Column) -> Column:
-        """A paragraph's windows, and its lines if it has several."""
+        """A paragraph's windows and, if it has several, lines, where they can have LEAST_HITS n-grams of the model.
+
+        The paragraph's n-grams are hashed once, and those of the model are few; the starts of these tell the windows.
+        """
         unit = lambda words, line: F.struct(k.alias("place"), words.alias("words"), line.alias("line"))
+        none = F.expr("cast(array() as array<struct<place:int,words:array<string>,line:boolean>>)")
         starts = lambda n: F.sequence(F.lit(0), F.greatest(n - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
-        windows = let(words_of(p), lambda w: F.transform(starts(F.size(w)), lambda a: unit(F.slice(w, a + 1, F.lit(WINDOW)), F.lit(False))))
-        lines = let(F.filter(F.split(p, "\n"), filled), lambda x: F.when(F.size(x) > 1, F.transform(x, lambda y: unit(words_of(y), F.lit(True)))))
-        return F.concat(windows, F.coalesce(lines, F.filter(windows, lambda x: F.lit(False))))
+        within = lambda at, a: F.size(F.filter(at, lambda i: (i >= a) & (i < a + WINDOW))) >= LEAST_HITS
+        lines = let(F.filter(F.split(p, "\n"), filled), lambda x: F.when(F.size(x) > 1, F.transform(x, lambda y: unit(words_of(y), F.lit(True)))).otherwise(none))
+
+        def found(words: Column, hashes: Column) -> Column:
+            n = F.size(words)  # the first n hashes are those of the words, the others those of the pairs
+            marks = lambda d: F.filter(F.transform(hashes, lambda g, i: F.when(F.array_contains(d, g), F.when(i < n, i).otherwise(i - n))), lambda i: i.isNotNull())
+            windows = lambda at: F.transform(F.filter(starts(n), lambda a: within(at, a)), lambda a: unit(F.slice(words, a + 1, F.lit(WINDOW)), F.lit(False)))
+            return let(F.array_intersect(vocabulary, hashes), lambda d: F.when(F.size(d) >= LEAST_HITS, F.concat(let(marks(d), windows), lines)).otherwise(none))
+
+        return let(words_of(p), lambda w: let(_plain_grams(w), lambda h: found(w, h)))
 
     def share(family: Column, held: Column, of: Column = templates) -> Column:
         """The largest share of a template of the family among the n-grams held."""
