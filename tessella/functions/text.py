@@ -197,3 +197,73 @@ def cue_window(text: Column, head: int = 2400, tail: int = 7200, most: int = 160
         return F.when(F.length(t) <= most, t).otherwise(F.substring(whole, 1, most + 2000))
 
     return let(bare(text), window)
+
+
+def platform_norm(c) -> Column:
+    """NFC is left to the writer; white space squeezed, lower case, thousands' commas and the marks after sums dropped, spaces and points trimmed."""
+    bare = F.regexp_replace(F.replace(F.lower(squeeze(c)), F.lit(","), F.lit("")), "/[=-]", "")
+    return F.btrim(bare, F.lit(" ."))
+
+
+def strict_norm(c) -> Column:
+    return squeeze(c)
+
+
+def page_tail_stripped(c, least: int = 25) -> Column:
+    """Without a page number at the end, if a sentence remains."""
+    return let(F.rtrim(F.regexp_replace(col(c), r"\s+\d{1,4}\s*$", "")), lambda x: F.when(F.length(x) >= least, x).otherwise(col(c)))
+
+
+def citation_format(c) -> Column:
+    """The class of a citation: the first pattern that matches, long text, or other."""
+    c = F.coalesce(col(c), F.lit(""))
+    kinds = (("Ordinance-No-of-year", r"(?i)Ordinance\s+No\.?\s*\d+\s+of\s+\d{4}"), ("section-of-Act", r"(?i)\bsections?\b.{0,6}\bof the\b"), ("Code-comma-s", r"(?i),\s*s\.?\s*\d"))
+    out = F.when(c == "", "empty")
+    for name, pattern in kinds:
+        out = out.when(F.regexp_like(c, F.lit(pattern)), name)
+    return out.when(F.length(c) > 200, "inline-fulltext (long)").otherwise("other")
+
+
+MARKER = r"\[(\w+),\s*(\d+\s+of\s+\d{4})\]"
+
+
+def split_markers(c) -> Column:
+    """(heading, markers (section, act)) of "Title [50, 79 of 1980]"."""
+    found = F.arrays_zip(F.regexp_extract_all(col(c), F.lit(MARKER), F.lit(1)).alias("section"), F.regexp_extract_all(col(c), F.lit(MARKER), F.lit(2)).alias("act"))
+    return F.struct(F.btrim(squeeze(F.regexp_replace(col(c), MARKER, "")), F.lit(" .,;:-–—")).alias("heading"), found.alias("markers"))
+
+
+def file_stem(c) -> Column:
+    """number-year-slug by the last number and year in a file's name; null without one."""
+    pairs = r"(\d{1,3})[ _-]+(?:of[ _-]+)?(\d{4})"
+    last = lambda g: F.try_element_at(F.regexp_extract_all(col(c), F.lit(pairs), F.lit(g)), F.lit(-1))
+    rest = F.btrim(F.regexp_replace(F.lower(F.regexp_replace(col(c), pairs, "-")), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.when(last(1).isNotNull() & (rest != ""), F.concat_ws("-", last(1).cast("int").cast("string"), last(2), rest))
+
+
+#: Months of sessions.
+MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
+
+
+def earliest_session(c) -> Column:
+    """YYYY-MM of the earliest "MONTH YYYY" between slashes, or null."""
+    months = F.array(*map(F.lit, MONTHS))
+
+    def of(part: Column) -> Column:
+        part = F.upper(F.trim(part))
+        month = F.array_position(months, F.regexp_extract(part, r"([A-Z]+)\s+(\d{4})", 1))
+        return F.when(month > 0, F.concat(F.regexp_extract(part, r"([A-Z]+)\s+(\d{4})", 2), F.lit("-"), F.lpad(month.cast("string"), 2, "0")))
+
+    return F.array_min(F.transform(F.split(col(c), "/"), of))
+
+
+def validators(c) -> Column:
+    """(nic, iso_date, extent, digits): whether the text has the form of an identity number, a date, an area, a number."""
+    c = F.trim(col(c))
+    like = lambda p: F.regexp_like(c, F.lit(p))
+    return F.struct(like(r"^([0-9]{9}[VXvx]|[0-9]{12})$").alias("nic"), like(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$").alias("iso_date"), (like("[0-9]") & like(r"(?i)\b(ha|hectare|hectares)\b")).alias("extent"), like("^[0-9]+$").alias("digits"))
+
+
+def quoted_items(c) -> Column:
+    """The quoted items of a list literal, whichever quotes it has, even if its end is cut off."""
+    return F.transform(F.regexp_extract_all(col(c), F.lit("""("[^"]*"|'[^']*')"""), F.lit(1)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))

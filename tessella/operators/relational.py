@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -35,12 +36,12 @@ def intervals(events: DataFrame, by: str, start: str) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, start: str, value: str) -> DataFrame:
-    """left with the value of right's latest row at or before its time: one union, one sort, one running pass; no theta join."""
-    both = left.select(*left.columns, F.lit(1).alias("__probe"), F.col(at).alias("__t"), F.lit(None).cast(right.schema[value].dataType).alias("__v")).unionByName(
-        right.select(by, F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.struct(F.col(value).alias("v"))["v"].alias("__v")), allowMissingColumns=True
+    """left with the value (null too) of right's latest row at or before its time: one union, one sort, one running pass; no theta join."""
+    both = left.select(*left.columns, F.lit(1).alias("__probe"), F.col(at).alias("__t"), F.lit(None).cast(StructType([StructField("v", right.schema[value].dataType)])).alias("__v")).unionByName(
+        right.select(by, F.lit(0).alias("__probe"), F.col(start).alias("__t"), F.struct(F.col(value).alias("v")).alias("__v")), allowMissingColumns=True
     )
     w = Window.partitionBy(by).orderBy("__t", "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__probe = 1").drop("__probe", "__t", "__v")
+    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)["v"]).where("__probe = 1").drop("__probe", "__t", "__v")
 
 
 def forward_fill(df: DataFrame, by: list[str], order: list[str], value: Column) -> Column:
@@ -92,3 +93,15 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     parts = df.select(row.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(F.sum(F.conv(F.substring("h", 5, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "n", "s"))), ","), 256).alias("fingerprint"), F.sum("n").alias("n"))  # 65,536 parts at most
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with 1, 2, ... in the order of the columns: numbered within ranges, whose sizes alone (one row a task) are summed up in one place."""
+    from tessella.sources.tables import table
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = table(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + own).drop("__part", "__base")  # base: a row a task

@@ -62,17 +62,10 @@ def wilson(t: Tables):
     return s.select("source", "k", "n", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("""with m as (select l_suppkey % 40 matter, avg(l_discount) v from lineitem group by 1), r as (select unnest(range(0, 200)) rep), d as (select rep, ('0x' || substr(md5(rep || ':' || i), 1, 8))::bigint % 40 pick from r, (select unnest(range(0, 40)) i)),
-b as (select rep, avg(v) mean from d join m on m.matter = d.pick group by rep) select round(quantile_cont(mean, 0.025), 6) lo, round((select avg(v) from m), 6) mean, round(quantile_cont(mean, 0.975), 6) hi from b""")
-def bootstrap_ci(t: Tables):
-    """Percentile interval over replicates whose draws are hashes, so every run draws alike."""
-    return _bootstrap(t, 200)
-
-
 @query("""with m as (select l_suppkey % 40 matter, avg(l_discount) v from lineitem group by 1), r as (select unnest(range(0, 2000)) rep), d as (select rep, ('0x' || substr(md5(rep || ':' || i), 1, 8))::bigint % 40 pick from r, (select unnest(range(0, 40)) i)),
 b as (select rep, avg(v) mean from d join m on m.matter = d.pick group by rep) select round(quantile_cont(mean, 0.025), 6) lo, round((select avg(v) from m), 6) mean, round(quantile_cont(mean, 0.975), 6) hi from b""")
-def bootstrap_ci_2000(t: Tables):
-    """bootstrap_ci by 2,000 replicates."""
+def bootstrap_ci(t: Tables):
+    """Percentile interval over 2,000 replicates whose draws are hashes, so every run draws alike."""
     return _bootstrap(t, 2000)
 
 

@@ -195,12 +195,14 @@ def fingerprint(t: Tables):
     return R.fingerprint(t.nation, ["n_nationkey", "n_name", "n_regionkey"])
 
 
-@query("""select p_partkey, row_number() over (order by try_cast(regexp_extract(substr(p_name, 1, 3), '^(\\d+)', 1) as bigint) is null, try_cast(regexp_extract(p_brand, '(\\d+)', 1) as bigint), p_name, p_partkey) pos from part where p_size <= 3""")
+@query("""with r as (select p_partkey, case when p_size % 7 = 0 then 'Schedule ' || p_size else p_size || case when p_partkey % 3 = 0 then 'A' when p_partkey % 5 = 0 then 'B' else '' end end sec from part)
+select p_partkey, sec, row_number() over (order by not regexp_matches(sec, '^[0-9]'), try_cast(regexp_extract(sec, '^([0-9]+)', 1) as bigint), regexp_replace(sec, '^[0-9]+', ''), p_partkey) pos from r""")
 def natural_sort(t: Tables):
-    n = F.nullif(F.regexp_extract(F.substring("p_name", 1, 3), r"^(\d+)", 1), F.lit("")).try_cast("long")
-    brand = F.nullif(F.regexp_extract("p_brand", r"(\d+)", 1), F.lit("")).try_cast("long")
-    w = Window.orderBy(n.isNull(), brand.asc_nulls_last(), "p_name", "p_partkey")
-    return t.part.where("p_size <= 3").select("p_partkey", F.row_number().over(w).alias("pos"))
+    """Sections in natural order (1, 2, 12, 12A, 13; what has no number last), numbered over ranges."""
+    sec = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("Schedule "), F.col("p_size").cast("string"))).otherwise(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "A").when(F.col("p_partkey") % 5 == 0, "B").otherwise("")))
+    rows = t.part.select("p_partkey", sec.alias("sec"))
+    keys = {f"__k{i}": k for i, k in enumerate(T.natural_order("sec"))}
+    return R.numbered(rows.withColumns(keys), [*keys, "p_partkey"], "pos").select("p_partkey", "sec", "pos")
 
 
 @query("""select doc_id, toxic, rank from (select d.doc_id, toxic, row_number() over (order by toxic desc nulls last, n_chars, d.doc_id) rank from documents d left join labels l on d.doc_id = l.doc_id) where rank <= 50""")
@@ -334,10 +336,10 @@ def range_filter_priority(t: Tables):
     return t.orders.where(y.between(1996, 1999)).select("o_orderkey", "o_totalprice", y.cast("long").alias("yr"), prio.alias("prio")).orderBy("prio", "o_orderkey").limit(40)
 
 
-@query("""select 'ACT' || lpad((row_number() over (order by p_name, p_partkey))::varchar, 5, '0') act_id, p_partkey from part where p_size = 1""")
+@query("""select 'ACT' || lpad((row_number() over (order by p_name, p_partkey))::varchar, 5, '0') act_id, p_partkey from part""")
 def sequential_ids(t: Tables):
-    w = Window.orderBy("p_name", "p_partkey")
-    return t.part.where("p_size = 1").select(F.concat(F.lit("ACT"), F.lpad(F.row_number().over(w).cast("string"), 5, "0")).alias("act_id"), "p_partkey")
+    """Ids in the order of names, numbered over ranges."""
+    return R.numbered(t.part.select("p_name", "p_partkey"), ["p_name", "p_partkey"], "k").select(F.concat(F.lit("ACT"), F.lpad(F.col("k").cast("string"), 5, "0")).alias("act_id"), "p_partkey")
 
 
 @query("""select s_suppkey, s_acctbal from (select s_suppkey, s_acctbal, s_name from supplier where s_suppkey % 2 = 0 union all select s_suppkey, s_acctbal + 1, s_name from supplier where s_suppkey % 2 = 1)""")

@@ -1,15 +1,15 @@
-"""Queries over whole tables, beside those whose SQL fixes a part."""
+"""Queries over whole tables."""
 
 from tessella.plans import registry
 
 
-def test_dense_queries_are_all_hundredths(spark, tmp_path):
+def test_dense_queries_are_all(spark, tmp_path):
     rows = [(i, i % 7, [1.0, float(i), float(i * i % 31)]) for i in range(0, 2600, 5)]
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = set(range(0, 2600, 100))
-    got = registry.QUERIES["dense_topk_hundredths"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["dense_topk"](spark, str(tmp_path)).collect()
     assert {r.query for r in got} == want and len(got) == 10 * len(want)
-    assert {r.query for r in registry.QUERIES["dense_parent_pool_hundredths"](spark, str(tmp_path)).collect()} == want
+    assert {r.query for r in registry.QUERIES["dense_parent_pool"](spark, str(tmp_path)).collect()} == want
 
 
 def test_dense_blocks_are_one_search(spark):
@@ -23,17 +23,10 @@ def test_dense_blocks_are_one_search(spark):
 def test_section_references_of_all_rows(spark):
     folder = "/root/testdata/sf0.01"
     keys = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey").distinct()
-    got = registry.QUERIES["section_xrefs_all"](spark, folder).select("l_orderkey").distinct()
+    got = registry.QUERIES["section_xrefs"](spark, folder).select("l_orderkey").distinct()
     assert keys.where("l_orderkey >= 2000").count() > 0 and keys.subtract(got).count() == 0
 
 
-def test_whole_parameters(spark):
-    run = lambda name: registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-    assert sorted(run("ppr_expand_twelve")) != sorted(run("ppr_expand"))
-    assert run("bootstrap_ci_2000")[0].mean == run("bootstrap_ci")[0].mean
-    assert {r.d for r in run("edit_rates_whole")} == {10}
-
-
 def test_cue_paragraphs_are_in_the_window(spark, tmp_path):
     import hashlib
     import re
@@ -58,6 +51,6 @@ def test_cue_paragraphs_are_in_the_window(spark, tmp_path):
     texts = ["", " short\n", "\n\n".join([plain] * 60), "\n\n".join([*[plain] * 20, cue, *[plain] * 20, "We\u00a0hold it so.", "WE hold it so: é", *[plain] * 40])]
     texts += ["\n \n".join([plain, cue * 40] * 60), "\n\n".join([plain] * 20 + [cue * 500] + [plain] * 40), "x" * 16000, "x" * 16001]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n, r.h) for r in registry.QUERIES["cue_window_paragraphs"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n, r.h) for r in registry.QUERIES["cue_window"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(w), hashlib.md5(w.encode()).hexdigest()) for i, w in enumerate(map(brute, texts))}
     assert cue.strip() in brute(texts[3])
