@@ -39,16 +39,20 @@ TAIL = "!#$%&*+,-./:;<=>?@|"
 ODD_BLANKS = re.compile(r"[^\S \n]")
 
 
+#: Words a worker keeps with their ids.
+WORD_ENTRIES = 300_000
+
+
 class Memo(dict):
-    """key -> make(key), for keys of up to 48 characters, emptied when full."""
+    """key -> make(key), for keys of up to 48 characters, emptied when full (`most` entries)."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = MEMO_ENTRIES):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= 48:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -111,7 +115,7 @@ HASH_POWERS = np.cumprod(np.array([1] + [int(HASH_BASE)] * 64, np.uint64), dtype
 class TokenTable:
     """Token of a rolling hash: a direct-mapped numpy table, and a sorted list for those that met in a slot."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, tokens: dict[bytes, int]):
         short = {b: i for b, i in tokens.items() if len(b) <= 25}
@@ -181,7 +185,7 @@ class ByteBPE:
         self.pairs: dict[int, bool] = {}
         self.forget()
         self.chunks = Memo(self.chunk)
-        self.words = Memo(self.word)
+        self.words = Memo(self.word, WORD_ENTRIES)
         self.table = TokenTable({b: i for b, i in self.ids.items() if i in self.tokens.size})
         self.sizes = np.zeros(max(self.bytes_of) + 2, np.int64)
         for i, n in self.tokens.size.items():
@@ -390,7 +394,7 @@ class ByteBPE:
         for k in keys:
             if k is not None:
                 new.update([w for w in k if w not in self.words])
-        if len(self.words) + len(new) > MEMO_ENTRIES:
+        if len(self.words) + len(new) > WORD_ENTRIES:
             self.words.clear()
         self.learn(new)
         for t, k in zip(texts, keys, strict=True):

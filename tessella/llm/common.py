@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a document table handed to a Python worker at once; with long texts the byte bound is met first.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Entries a worker's memo may hold before it is emptied.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 100_000
 
 _owner: str | None = None
 _held: dict[str, Callable[[], None]] = {}

@@ -30,7 +30,7 @@ WINDOW = 10
 #: Words between those of a window in a proximity match, in all.
 SLOP = 1
 #: Tokens in a segment, about; and words of test items in a block.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 17
 BLOCK_WORDS = 1 << 20
 #: Free positions between documents, more than any slop.
 GAP = 64
@@ -102,6 +102,7 @@ class Segment:
         self.base = np.concatenate([[0], np.cumsum(self.sizes + GAP)[:-1]]).astype(np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], np.uint32).astype(np.int64)
+        self.sizes_of = np.diff(self.starts)
         self.positions = np.frombuffer(row["positions"], np.uint32)
         self.length = int(self.base[-1] + self.sizes[-1] + GAP) if n else 0
 
@@ -155,7 +156,7 @@ class Segment:
         documents = lambda begins: np.unique(np.searchsorted(self.base, begins, side="right") - 1).tolist()
         for item, words in items:
             terms = self.numbers(words)
-            counts = np.where(terms >= 0, np.diff(self.starts)[terms] if len(self.terms) else 0, 0)
+            counts = np.where(terms >= 0, self.sizes_of[terms], 0) if len(self.terms) else np.zeros(len(terms), np.int64)
             width = min(window, len(words))
             absent = np.concatenate([[0], np.cumsum(terms < 0)])
             cuts = [width * k // (slop + 1) for k in range(slop + 2)]  # parts of a window, one of which stands unbroken

@@ -2,7 +2,7 @@
 
 1. One narrow pass gives each text its set's size and 128-bit digest, BANDS band hashes of ROWS MinHash values each, and the odd sketch: the
    MinHash samples folded into a parity bitmap, whose XOR's population count estimates a high similarity. Texts with equal sets are one
-   node, named by the digest, from here on.
+   node from here on.
 2. Nodes that vote for one head (the smallest node of a band they share) are confirmed against each other and it, in salted blocks.
 3. Band buckets that still hold several components are compared block by block in numpy: nodes outside the bucket's main component
    against all. Nodes with a partner in another component whose sketch agrees are asked for, first with their closest partner only, then
@@ -34,7 +34,7 @@ BANDS, ROWS = 40, 5
 #: Bits of an odd sketch, and the estimated similarity under which a pair isn't compared further (4 standard deviations below 0.8).
 SKETCH_BITS, SKETCH_LEAST = 512, 0.66
 #: Nodes and bytes of sets in a salted block of a bucket, about.
-GROUP, BLOCK_BYTES = 1024, 16 << 20
+GROUP, BLOCK_BYTES = 1024, 6 << 20
 #: Rows (about 100 bytes each) and blocks in them up to which a table of wanted nodes is broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -113,22 +113,22 @@ def _block(of):
 def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, percent: int, within: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) between nodes of different roots that meet in a block: 100 * intersection >= percent * union of full sets.
 
-    asked: block (struct), held, digest, root. A block's held nodes are compared with its visitors and, if `within`, with each other, over an
+    asked: block (struct), held, node, root. A block's held nodes are compared with its visitors and, if `within`, with each other, over an
     inverted list of the held sets. A union-find over roots keeps only links that join, so a block gives fewer links than it has nodes.
     Texts are read again only for asked nodes, and a set is sent once per block.
     """
-    wanted = asked.groupBy("digest", F.pmod(F.xxhash64("block"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("block", "held", "root")).alias("blocks"))
-    wanted = written(wanted.join(nodes.select("digest", "rep"), "digest").select("digest", "rep", "blocks"))
+    wanted = asked.groupBy("node", F.pmod(F.xxhash64("block"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("block", "held", "root")).alias("blocks"))
+    wanted = written(wanted.join(nodes.select("node", "digest", "rep"), "node").select("node", "digest", "rep", "blocks"))
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and wanted.agg(F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()[0] <= 2 * BROADCAST_ROWS
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("rep")).select("text", "digest", "blocks")
+    joined = rows.join(F.broadcast(wanted) if small else wanted, F.col("id") == F.col("rep")).select("text", "node", "digest", "blocks")
 
     def send(batches: Iterator):
         import pyarrow as pa
 
         turn("minhash")
         for b in batches:
-            for digest, s, blocks in zip(b.column("digest").to_pylist(), sets_of(texts_of(b), k), b.column("blocks").to_pylist(), strict=True):
+            for node, digest, s, blocks in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), sets_of(texts_of(b), k), b.column("blocks").to_pylist(), strict=True):
                 data = s.tobytes()
                 if xxhash.xxh3_128_digest(data) != digest:  # another text under the same id
                     continue
@@ -136,9 +136,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, perce
                 for i in range(0, len(blocks), each):
                     part = blocks[i : i + each]
                     n = len(part)
-                    columns = [[x["block"]["band"] for x in part], [x["block"]["salt"] for x in part], [not x["held"] for x in part], [digest] * n, [x["root"] for x in part], [data] * n]
-                    types = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["band", "salt", "visitor", "digest", "root", "shingles"])
+                    columns = [[x["block"]["band"] for x in part], [x["block"]["salt"] for x in part], [not x["held"] for x in part], [node] * n, [x["root"] for x in part], [data] * n]
+                    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["band", "salt", "visitor", "node", "root", "shingles"])
 
     def compare(batches: Iterator):
         import pyarrow as pa
@@ -146,42 +146,42 @@ def confirmed(docs: DataFrame, nodes: DataFrame, asked: DataFrame, k: int, perce
         turn("minhash")
         block, at = None, None
         for b in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for band, salt, visitor, digest, root, data in zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "digest", "root", "shingles")]):
+            out: list[tuple[int, int]] = []
+            for band, salt, visitor, node, root, data in zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "node", "root", "shingles")]):
                 if (band, salt) != at:
                     if block is not None and within:
                         out += block.inside()
                     block, at = Block(percent), (band, salt)
                 s = np.frombuffer(data, np.uint64)
                 if visitor:
-                    out += block.meet(digest, root, s)
+                    out += block.meet(node, root, s)
                 else:
-                    block.hold(digest, root, s)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+                    block.hold(node, root, s)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
         if block is not None and within:
             out = block.inside()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounded_batches(docs.sparkSession)
-    sent = joined.mapInArrow(send, "band long, salt int, visitor boolean, digest binary, root binary, shingles binary").repartition(n, "band", "salt")
-    return written(sent.sortWithinPartitions("band", "salt", "visitor").mapInArrow(compare, "a binary, b binary").distinct())
+    sent = joined.mapInArrow(send, "band long, salt int, visitor boolean, node long, root long, shingles binary").repartition(n, "band", "salt")
+    return written(sent.sortWithinPartitions("band", "salt", "visitor").mapInArrow(compare, "a long, b long").distinct())
 
 
 class Block:
     """Sets held in memory (bounded by _salts) with an inverted list, and a union-find over their roots."""
 
     def __init__(self, percent: int):
-        self.percent, self.digests, self.roots, self.sets, self.parent, self.terms, self.known = percent, [], [], [], {}, None, set()
+        self.percent, self.nodes, self.roots, self.sets, self.parent, self.terms, self.known = percent, [], [], [], {}, None, set()
 
-    def hold(self, digest: bytes, root: bytes, s: np.ndarray) -> None:
-        if digest not in self.known:  # repeated rows
-            self.known.add(digest)
-            self.digests.append(digest)
+    def hold(self, node: int, root: int, s: np.ndarray) -> None:
+        if node not in self.known:  # repeated rows
+            self.known.add(node)
+            self.nodes.append(node)
             self.roots.append(root)
             self.sets.append(s)
 
-    def find(self, root: bytes) -> bytes:
+    def find(self, root: int) -> int:
         self.parent.setdefault(root, root)
         while self.parent[root] != root:
             self.parent[root] = root = self.parent[self.parent[root]]
@@ -208,25 +208,34 @@ class Block:
         both = np.bincount(self.owners[rows], minlength=len(self.sizes))[:upto]
         return np.flatnonzero((both > 0) & (100 * both >= self.percent * (self.sizes[:upto] + len(s) - both)))
 
-    def _join(self, digest: bytes, root: bytes, found: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    def _join(self, node: int, root: int, found: np.ndarray) -> Iterator[tuple[int, int]]:
         for j in found.tolist():
             x, y = self.find(root), self.find(self.roots[j])
             if x != y:
                 self.parent[x] = y
-                yield min(digest, self.digests[j]), max(digest, self.digests[j])
+                yield min(node, self.nodes[j]), max(node, self.nodes[j])
 
-    def meet(self, digest: bytes, root: bytes, s: np.ndarray) -> list[tuple[bytes, bytes]]:
+    def meet(self, node: int, root: int, s: np.ndarray) -> list[tuple[int, int]]:
         if not self.sets or not len(s):
             return []
         if self.terms is None:
             self._index()
-        return list(self._join(digest, root, self.linked(s, len(self.sets))))
+        return list(self._join(node, root, self.linked(s, len(self.sets))))
 
-    def inside(self) -> list[tuple[bytes, bytes]]:
+    def inside(self) -> list[tuple[int, int]]:
         if len(set(self.roots)) < 2:
             return []
         self._index()
-        return [x for i, s in enumerate(self.sets) for x in self._join(self.digests[i], self.roots[i], self.linked(s, i))]
+        return [x for i, s in enumerate(self.sets) for x in self._join(self.nodes[i], self.roots[i], self.linked(s, i))]
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step on edges (u, v), u > v."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,13 +243,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark, path, last = edges.sparkSession, None, None
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct()
         new_path = shared_folder(spark)
-        e = written(small, new_path)
+        e = written(_stars(e), new_path)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if path:
             discard(spark, path)
@@ -253,21 +257,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool) -> DataFrame:
-    """(block, held, digest, root) of the nodes that have to be confirmed in a block: those with a partner in another component whose sketch agrees.
+    """(block, held, node, root) of the nodes that have to be confirmed in a block: those with a partner in another component whose sketch agrees.
 
     In each bucket, nodes outside the component of its head meet all nodes, in salted blocks of about GROUP rows, and a pair counts in the
     first band that both have. With `closest`, they meet their own block only and ask for the closest partner there: a cheap round that joins
     most of what belongs together. A block gives at most one row for each node that came into it.
     """
     spark = nodes.sparkSession
-    rows = buckets.join(comp.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    rows = rows.withColumn("__root", F.xxhash64("root"))
-    per = rows.groupBy("band").agg(F.min("__root").alias("low"), F.max("__root").alias("high"), _salts(F.count("*"), F.sum("n_shingles")).alias("salts"), F.min_by("__root", "node").alias("main"))
-    per = written(per.where("low < high").select("band", "main", "salts"))
-    rows = rows.join(per, "band").select("band", "salts", "main", "__root", "digest", "root").join(nodes.select("digest", "sketch", "bands"), "digest")
-    own = F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int")
-    major = F.col("__root") == F.col("main")
-    fields = ("digest", "root", "sketch", "bands")
+    rows = buckets.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), _salts(F.count("*"), F.sum("n_shingles")).alias("salts"), F.min_by("root", "node").alias("main"))
+    per = per.where("low < high").select("band", "main", "salts")
+    rows = rows.join(per, "band").select("band", "salts", "main", "node", "root").join(nodes.select("node", "sketch", "bands"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    major = F.col("root") == F.col("main")
+    fields = ("node", "root", "sketch", "bands")
     base = rows.select("band", own.alias("salt"), F.lit(False).alias("visitor"), major.alias("major"), *fields)
     where = F.array(own) if closest else F.sequence(F.lit(0), F.col("salts") - 1)
     minor = rows.where(~major).select("band", F.explode(where).alias("salt"), F.lit(True).alias("visitor"), F.lit(False).alias("major"), *fields)
@@ -275,7 +278,7 @@ def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool
     def meet(batches: Iterator):
         import pyarrow as pa
 
-        names = ["band", "salt", "held", "digest", "root"]
+        names = ["band", "salt", "held", "node", "root"]
         at, held, asked = None, [], None
         block: tuple = ()
 
@@ -285,32 +288,32 @@ def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool
 
         def packed(out):
             columns = list(zip(*out)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], names=names)
 
         for b in batches:
             out: list[tuple] = []
             bands = b.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-            for k, (band, salt, visitor, major, digest, root, sketch) in enumerate(zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "major", "digest", "root", "sketch")])):
+            for k, (band, salt, visitor, major, node, root, sketch) in enumerate(zip(*[b.column(c).to_pylist() for c in ("band", "salt", "visitor", "major", "node", "root", "sketch")])):
                 if (band, salt) != at:
                     rest(out)
                     at, held, asked = (band, salt), [], None
                 if not visitor:  # about GROUP rows come first
-                    held.append((digest, root, major, sketch, bands[k].copy()))
+                    held.append((node, root, major, sketch, bands[k].copy()))
                     continue
                 if asked is None:
                     asked = np.zeros(len(held), bool)
-                    number: dict[bytes, int] = {}
+                    number: dict[int, int] = {}
                     block = np.array([number.setdefault(h[1], len(number)) for h in held]), np.array([h[2] for h in held], bool), np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1), np.array([h[4] for h in held], np.int64).reshape(len(held), -1)
                 close = estimate(np.bitwise_count(block[2] ^ np.frombuffer(sketch, np.uint64)).sum(1, dtype=np.int64)) if len(held) else np.zeros(0)
                 near = np.flatnonzero((close >= SKETCH_LEAST) & (block[0] != number.get(root, -1)))
                 if closest:
                     near = near[np.argsort(-close[near], kind="stable")[:1]]
                 else:  # of two visitors, each meets the other: the larger one asks
-                    near = near[[block[1][j] or held[j][0] < digest for j in near.tolist()]] if len(near) else near
+                    near = near[[block[1][j] or held[j][0] < node for j in near.tolist()]] if len(near) else near
                     near = near[bands[k][np.argmax(block[3][near] == bands[k], axis=1)] == band] if len(near) else near
                 if len(near):
                     asked[near] = True
-                    out.append((band, salt, False, digest, root))
+                    out.append((band, salt, False, node, root))
             yield packed(out)
         out = []
         rest(out)
@@ -319,8 +322,8 @@ def _sifted(nodes: DataFrame, buckets: DataFrame, comp: DataFrame, closest: bool
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounded_batches(spark)
     dealt = base.unionByName(minor).repartition(n, "band", "salt").sortWithinPartitions("band", "salt", "visitor")
-    found = dealt.mapInArrow(meet, "band long, salt int, held boolean, digest binary, root binary")
-    return written(found.select(_block(F.col("band")).alias("block"), "held", "digest", "root"))
+    found = dealt.mapInArrow(meet, "band long, salt int, held boolean, node long, root long")
+    return written(found.select(_block(F.col("band")).alias("block"), "held", "node", "root"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,21 +331,25 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
     prints = fingerprints(docs, k, key, text)
     some = prints.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     least = some.groupBy("digest").agg(F.min_by(F.struct("id", "n_shingles", "sketch", "bands"), "id").alias("x"), F.count("*").alias("n"))
-    nodes = written(least.select("digest", F.col("x.id").alias("rep"), "x.n_shingles", "x.sketch", "x.bands", (F.col("n") > 1).alias("twins")))
-    exploded = nodes.select("digest", F.xxhash64("digest").alias("node"), "n_shingles", F.explode("bands").alias("band"))
+    found = written(least.select("digest", F.col("x.id").alias("rep"), "x.n_shingles", "x.sketch", "x.bands", (F.col("n") > 1).alias("twins")))
+    # A node's number is its smallest id, or a hash of its digest where that id has several texts.
+    several = written(found.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("__several")))
+    nodes = found.withColumn("node", F.col("rep"))
+    if not several.isEmpty():
+        nodes = written(found.join(several, F.col("rep") == F.col("__several"), "left").withColumn("node", F.when(F.col("__several").isNull(), F.col("rep")).otherwise(F.xxhash64("digest"))).drop("__several"))
+    exploded = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     heads = written(exploded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
     buckets = written(exploded.join(heads, "band"))  # only what shares a band with others
-    votes = buckets.where("node <> head").groupBy("digest", "head", "n_shingles").agg(F.count("*").alias("n"))
-    first = written(votes.groupBy("digest", "n_shingles").agg(F.max_by("head", "n").alias("head")))
+    votes = buckets.where("node <> head").groupBy("node", "head", "n_shingles").agg(F.count("*").alias("n"))
+    first = written(votes.groupBy("node", "n_shingles").agg(F.max_by("head", F.col("n")).alias("head")))
     per = first.groupBy("head").agg(_salts(F.count("*"), F.sum("n_shingles")).alias("salts"))
-    voters = first.join(per, "head").select("head", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int").alias("salt"), "digest")
-    leaders = nodes.select("digest", F.xxhash64("digest").alias("head")).join(per, "head")
-    led = leaders.select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "digest")
-    asked = voters.unionByName(led).select(_block(F.col("head")).alias("block"), F.lit(True).alias("held"), "digest", F.col("digest").alias("root"))
+    voters = first.join(per, "head").select("head", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
+    led = per.select("head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("head").alias("node"))
+    asked = voters.unionByName(led).select(_block(F.col("head")).alias("block"), F.lit(True).alias("held"), "node", F.col("node").alias("root"))
     links = confirmed(docs, nodes, asked, k, percent, True, key, text)
     comp = written(components(links))
     for closest in (True, False):  # closest partners, then every pair that is left
-        asked = _sifted(nodes, buckets.select("band", "digest", "node", "n_shingles"), comp, closest)
+        asked = _sifted(nodes, buckets.select("band", "node", "n_shingles"), comp, closest)
         if asked.isEmpty():
             if closest:
                 continue
@@ -351,11 +358,11 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = written(components(links))
-    label = comp.withColumnRenamed("id", "digest").join(nodes.select("digest", "rep"), "digest")
-    lowest = written(label.groupBy("root").agg(F.min("rep").alias("low")))
+    label = comp.withColumnRenamed("id", "node").join(nodes.select("node", "digest", "rep"), "node")
+    lowest = label.groupBy("root").agg(F.min("rep").alias("low"))
     linked = written(label.join(lowest, "root").select("digest", F.col("low").alias("component")))
     twins = nodes.where("twins").select("digest", F.col("rep").alias("component")).join(linked.select("digest"), "digest", "left_anti")
-    joined = prints.select("id", "mark", "n_shingles", "digest").join(written(twins.unionByName(linked)), "digest", "left")
+    joined = prints.select("id", "mark", "n_shingles", "digest").join(twins.unionByName(linked), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select("id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

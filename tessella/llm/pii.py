@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructType
 
-from tessella.llm.common import bounded_batches, texts_of
+from tessella.llm.common import bounded_batches, texts_of, turn
 
 #: Kinds in the order of reports, and the alphabets of the stated patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -207,6 +207,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
+        turn("pii")
         for b in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
             shas, spans, total = [], [], []
@@ -240,6 +241,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
+        turn("pii")
         for b in batches:
             got = pa.array([None if t is None else mask(t) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([got if n == text else b.column(n) for n in b.schema.names], names=b.schema.names)

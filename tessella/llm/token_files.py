@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, partitions_for, shared_folder
+from tessella.llm.common import bounded_batches, partitions_for, shared_folder, turn
 
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 16
@@ -148,6 +148,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 2,
     def run(batches: Iterator):
         import pyarrow as pa
 
+        turn("token_files", chunks_of.cache_clear)
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("n_ids", pa.int64()), ("shard_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
         chunks, end = chunks_of(tokenizer), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         width, shard = width_of(max(chunks.vocabulary, (end_id or 0) + 1)), TaskContext.get().partitionId()
