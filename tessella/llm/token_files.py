@@ -27,8 +27,8 @@ from tessella.llm.common import bounded_batches, partitions_for, shared_folder,
 BLOCK_IDS = 1 << 16
 #: Shards (16 bytes each) up to this many are broadcast; beyond it, Spark joins by shuffle.
 BROADCAST_SHARDS = 1_000_000
-#: Chunks of text a worker keeps with their ids.
-MEMO_CHUNKS = 600_000
+#: Chunks of text, and letters and marks in them, that a worker keeps with their ids.
+MEMO_CHUNKS = 800_000
 #: Marks that end a word's run of letters in the split of the tokenizer file, without the apostrophe.
 TAIL = "!#$%&*+,-./:;<=>?@|"
 
@@ -66,7 +66,6 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.parts: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         split = json.dumps(spec.get("pre_tokenizer") or {})
@@ -102,26 +101,25 @@ class Chunks(dict):
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks: of letters and of the marks behind them apart, each looked up once."""
-        cut, parts, runs, rest = [], self.parts, {}, {}
+        """Ids of new chunks: of letters and of the marks behind them apart. Both are chunks themselves and kept as such."""
+        cut, runs, rest = [], {}, {}
         for c in chunks:
             stem = c.rstrip(TAIL)
             if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):  # composed letters, of one lower-case letter each
-                tail = c[len(stem) :]
-                stem = stem.lower() if self.lower else stem
-                if stem not in parts:
-                    runs[stem] = None
+                run = stem.lower() if self.lower else stem
+                if run not in self:
+                    runs[run] = None
+                if run != c:
+                    tail = c[len(stem) :]
+                    if tail and tail not in self:
+                        rest[tail] = None
+                    cut.append((c, run, tail))
             else:
-                stem, tail = c, ""
-                if c not in parts:
-                    rest[c] = None
-            if tail and tail not in parts:
-                rest[tail] = None
-            cut.append((c, stem, tail))
-        parts.update(zip(runs, self.letters(list(runs)), strict=True))
-        parts.update(zip(rest, self.raw(list(rest)), strict=True))
+                rest[c] = None
+        self.update(zip(runs, self.letters(list(runs)), strict=True))
+        self.update(zip(rest, self.raw(list(rest)), strict=True))
         for c, a, b in cut:
-            self[c] = parts[a] + parts[b] if b else parts[a]
+            self[c] = self[a] + self[b] if b else self[a]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if not self.by_chunk:
@@ -131,7 +129,6 @@ class Chunks(dict):
         new = [w for w in words if w not in self]
         if len(self) + len(new) > MEMO_CHUNKS:
             self.clear()
-            self.parts.clear()
             new = list(words)
         self.learn(new)
         return [b"".join(map(self.__getitem__, words)) + end for words in split]
