@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of a document table handed to a Python worker at once; with long texts the byte bound is met first.
 BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of a table in the shared folder: a writer holds one, and a reader a column of one.
+ROW_GROUP = 16 << 20
 #: Entries a worker's memo may hold before it is emptied.
 MEMO_ENTRIES = 100_000
 
@@ -80,7 +82,7 @@ def _clean() -> None:
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and losing an executor costs no recomputation."""
     path = path or shared_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
