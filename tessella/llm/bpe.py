@@ -40,7 +40,11 @@ ODD_BLANKS = re.compile(r"[^\S \n]")
 
 
 #: Words a worker keeps with their ids.
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 200_000
+#: Documents handed to a worker at once.
+BATCH_DOCS = 128
+#: Words that go through the rows of the dynamic programme together.
+ROWS_AT_ONCE = 8192
 
 
 class Memo(dict):
@@ -58,6 +62,11 @@ class Memo(dict):
         return value
 
 
+def packed(ids) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return np.array(ids, "<i4").tobytes()
+
+
 class SuffixMatches:
     """Automaton with suffix links over the vocabulary: step[state << 8 | byte] and, for each state, the tokens that end there, longest first."""
 
@@ -187,9 +196,12 @@ class ByteBPE:
         self.chunks = Memo(self.chunk)
         self.words = Memo(self.word, WORD_ENTRIES)
         self.table = TokenTable({b: i for b, i in self.ids.items() if i in self.tokens.size})
-        self.sizes = np.zeros(max(self.bytes_of) + 2, np.int64)
+        self.sizes, self.starts = np.zeros(max(self.bytes_of) + 2, np.int64), np.zeros(max(self.bytes_of) + 2, np.int64)
         for i, n in self.tokens.size.items():
             self.sizes[i] = n
+        self.starts[1:] = np.cumsum(self.sizes)[:-1]
+        #: Bytes of all tokens in the order of ids.
+        self.blob = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.tokens.size)), np.uint8)
         self.pair_keys, self.pair_fits = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
 
     def reachable(self, token: int) -> bool:
@@ -312,9 +324,9 @@ class ByteBPE:
             out += words
         return out
 
-    def word(self, key: str) -> tuple[int, ...]:
-        """Ids of a chunk as keys() names it: the first of a text and those after a newline are marked, the rest follow a space."""
-        return self.chunk(key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key)
+    def word(self, key: str) -> bytes:
+        """Packed ids of a chunk as keys() names it: the first of a text and those after a newline are marked, the rest follow a space."""
+        return packed(self.chunk(key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key))
 
     def learn(self, words: set[str]) -> None:
         """Ids of many words at once: letters with marks behind go through the rows of the dynamic programme together."""
@@ -326,21 +338,22 @@ class ByteBPE:
                 data = b" " + stem.encode()
                 plain[data] = None
                 parts.append((w, data, w[len(stem) :]))
-        ids = dict(zip(plain, self.pieces_of(list(plain)), strict=True))
-        memo, chunks = self.words, self.chunks
+        ids: dict[bytes, bytes] = {}
+        pieces = sorted(plain, key=len, reverse=True)
+        for k in range(0, len(pieces), ROWS_AT_ONCE):
+            ids.update(zip(pieces[k : k + ROWS_AT_ONCE], self.pieces_of(pieces[k : k + ROWS_AT_ONCE]), strict=True))
+        tails = {tail: packed(self.chunks[tail]) for tail in {tail for _, _, tail in parts} if tail}
+        memo = self.words
         for w, data, tail in parts:
-            memo[w] = ids[data] + chunks[tail] if tail else ids[data]
-
-    def pieces_of(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """piece() of many short pieces: one numpy step per prefix length and token length."""
-        if not pieces:
-            return []
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        sizes = np.array([len(pieces[i]) for i in order])
+            memo[w] = ids[data] + tails[tail] if tail else ids[data]
+
+    def pieces_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed piece() of many short pieces, longest first: one numpy step per prefix length and token length."""
+        sizes = np.array([len(p) for p in pieces])
         width = int(sizes[0])
-        data = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(order), width)
-        prefix = np.zeros((width + 1, len(order)), np.uint64)
-        last = np.full((width + 1, len(order)), -1, np.int64)
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
+        prefix = np.zeros((width + 1, len(pieces)), np.uint64)
+        last = np.full((width + 1, len(pieces)), -1, np.int64)
         for end in range(1, width + 1):
             n = int(np.searchsorted(-sizes, -end, side="right"))  # pieces at least this long
             prefix[end, :n] = prefix[end - 1, :n] * HASH_BASE + (data[:n, end - 1].astype(np.uint64) + np.uint64(1))
@@ -359,18 +372,33 @@ class ByteBPE:
                 open_rows = open_rows[last[end, open_rows] < 0]
                 if not len(open_rows):
                     break
-        at, columns, lines = sizes.copy(), [], np.arange(len(order))
+        at, columns, lines = sizes.copy(), [], np.arange(len(pieces))
         while at.any():
             token = np.where(at > 0, last[at, lines], -1)
             at = np.where(token < 0, 0, at)  # a prefix that only a token outside the table can end
             columns.append(token)
             at -= np.where(at > 0, self.sizes[token], 0)
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        for i, row in zip(order, np.stack(columns[::-1], 1).tolist(), strict=True):
-            ids = tuple(t for t in row if t >= 0)
-            # Hashes name the matches; bytes prove them. What fails goes through the automaton.
-            out[i] = ids if b"".join(map(self.bytes_of.__getitem__, ids)) == pieces[i] else tuple(self.piece(pieces[i]))
-        return out
+        rows = np.stack(columns[::-1], 1)
+        tokens, ends = rows[rows >= 0], np.cumsum((rows >= 0).sum(1)).tolist()
+        # Hashes name the matches; bytes prove them. What fails goes through the automaton.
+        proved = self.proved(tokens, np.array(ends), data, sizes).tolist()
+        ids, begins = tokens.astype("<i4").tobytes(), [0, *ends]
+        return [ids[4 * i : 4 * j] if ok else packed(self.piece(p)) for p, i, j, ok in zip(pieces, begins, ends, proved)]
+
+    def spelled(self, tokens: np.ndarray) -> np.ndarray:
+        """The bytes of these tokens, one after the other."""
+        sizes = self.sizes[tokens]
+        return self.blob[np.repeat(self.starts[tokens] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+    def proved(self, tokens: np.ndarray, ends: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each row's tokens (up to its end in `tokens`) spell the first `size` bytes of its row of data."""
+        total = np.concatenate([[0], np.cumsum(self.sizes[tokens])])[np.concatenate([[0], ends])]
+        length = np.diff(total)
+        good = length == sizes
+        wanted = data[(np.arange(data.shape[1]) < sizes[:, None]) & good[:, None]]
+        wrong = self.spelled(tokens)[np.repeat(good, length)] != wanted
+        good[np.repeat(np.flatnonzero(good), sizes[good])[wrong]] = False
+        return good
 
     def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """compatible() of many pairs, over a direct-mapped cache."""
@@ -388,6 +416,10 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
         """encode() of each text, after learning the words of all of them."""
+        return (np.frombuffer(x, "<i4").tolist() for x in self.packed_many(texts))
+
+    def packed_many(self, texts: list[str]) -> Iterator[bytes]:
+        """encode_many() with the ids of a text as little-endian 32-bit numbers."""
         special = lambda t: self.special_split is not None and any(s in t for s in self.specials)
         keys = [None if special(t) else self.keys(t) for t in texts]
         new: set[str] = set()
@@ -398,7 +430,7 @@ class ByteBPE:
             self.words.clear()
         self.learn(new)
         for t, k in zip(texts, keys, strict=True):
-            yield self.encode(t) if k is None else list(chain.from_iterable(map(self.words.__getitem__, k)))
+            yield packed(self.encode(t)) if k is None else b"".join(map(self.words.__getitem__, k))
 
     def encode(self, text: str) -> list[int]:
         general = lambda t: chain.from_iterable(map(self.chunks.__getitem__, self.blanks.findall(t)))
@@ -408,7 +440,7 @@ class ByteBPE:
                 out += [self.specials[part]] if k % 2 else general(part)
             return out
         keys = self.keys(text)
-        return list(general(text) if keys is None else chain.from_iterable(map(self.words.__getitem__, keys)))
+        return list(general(text)) if keys is None else np.frombuffer(b"".join(map(self.words.__getitem__, keys)), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -438,7 +470,7 @@ def _digests(path: str):
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; one narrow pass."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_DOCS)
     return docs.select("doc_id", "text").mapInArrow(_digests(path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -446,7 +478,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
     """docs with the array of token ids of every text."""
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_DOCS)
     schema = StructType([f for f in docs.schema if f.name != ids]).add(ids, ArrayType(IntegerType()))
     keep = [f.name for f in docs.schema if f.name != ids]
 
@@ -456,7 +488,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
         turn("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for b in batches:
-            got = pa.array(list(bpe.encode_many([t.decode() for t in texts_of(b, text)])), pa.list_(pa.int32()))
+            rows = list(bpe.packed_many([t.decode() for t in texts_of(b, text)]))
+            borders = np.cumsum([0, *[len(x) // 4 for x in rows]]).astype(np.int32)
+            got = pa.ListArray.from_arrays(borders, pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], got], names=[*keep, ids])
 
     return docs.mapInArrow(run, schema)
@@ -466,7 +500,7 @@ def decoded(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "t
     """tokens with the text of every id array (null: empty)."""
     from pyspark.sql.types import StringType, StructType
 
-    bounded_batches(tokens.sparkSession)
+    bounded_batches(tokens.sparkSession, BATCH_DOCS)
     schema = StructType([f for f in tokens.schema if f.name != text]).add(text, StringType())
     keep = [f.name for f in tokens.schema if f.name != text]
 
