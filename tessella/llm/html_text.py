@@ -7,13 +7,15 @@ module makes up from random words and many templates; the pages to extract from
 
 Scripts, styles, comments, titles and other markup are never blocks. Character references are decoded, white space inside a block becomes one space.
 Defined cases: null and empty html give the empty text; unclosed and stray tags are tolerated (a closing tag ends the nearest
-open one of its name, or nothing); text outside any tag is a block; a page of one block only may still be main.
+open one of its name, or nothing; an element without text that is never closed hides nothing, but script, style, iframe, textarea and title hide
+the rest, as in browsers); text outside any tag is a block; a page of one block only may still be main.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +29,8 @@ from tessella.llm.common import bounded_batches, texts_of
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of the silent ones, those whose content is raw text: where they aren't closed, all that follows is theirs.
+RAW = frozenset("script style iframe textarea title".split())
 #: A start tag of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li".split())
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(>?)|[!?][^>]*(?:>|$))", re.S)
@@ -64,34 +68,79 @@ class Block:
         self.text, self.path, self.linked, self.tag = text, path, linked, tag
 
 
+class Open:
+    """The open tags, with what is asked about them kept up to date, so that a page of any depth is cut in linear time."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...], int]] = []  # name, features, place of the nearest tag that isn't inline
+        self.names: Counter[str] = Counter()
+        self.features: Counter[int] = Counter()
+        self.path: tuple[int, ...] | None = ()
+
+    def push(self, name: str, features: tuple[int, ...]) -> None:
+        place = len(self.stack) if name not in INLINE else self.stack[-1][2] if self.stack else -1
+        self.stack.append((name, features, place))
+        self.names[name] += 1
+        self.features.update(features)
+        self.path = None
+
+    def end(self, name: str) -> None:
+        """Close the nearest tag of the name and all in it."""
+        if not self.names[name]:
+            return
+        last = ""
+        while last != name:
+            last, features, _ = self.stack.pop()
+            self.names[last] -= 1
+            for f in features:
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+        self.path = None
+
+    def tag(self) -> str:
+        """The nearest tag that isn't inline."""
+        return self.stack[self.stack[-1][2]][0] if self.stack and self.stack[-1][2] >= 0 else ""
+
+    def own(self) -> tuple[int, ...]:
+        """Features of all open tags."""
+        if self.path is None:
+            self.path = tuple(sorted(self.features))
+        return self.path
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's leaf blocks in order. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    tags = Open()
     pieces: list[str] = []
     linked = 0
     silent_until: str | None = None
-    at, links, low = 0, 0, page
+    at, last_end = 0, {}
 
     def close() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                own: set[int] = set()
-                for _, f in stack[-24:]:
-                    own.update(f)
-                out.append(Block(text, tuple(sorted(own)), min(linked, len(text)), next((t for t, _ in reversed(stack) if t not in INLINE), "")))
+                out.append(Block(text, tags.own(), min(linked, len(text)), tags.tag()))
             pieces.clear()
         linked = 0
 
-    for m in TAG.finditer(low):
+    def ends_after(name: str, place: int) -> bool:
+        """Whether something behind the place closes a silent element."""
+        if name not in last_end:
+            found = re.compile(rf"</{name}(?![a-z0-9:-])" + ("|<body(?![a-z0-9:-])" if name in ("head", "svg", "math") else ""), re.I)
+            last_end[name] = max((m.start() for m in found.finditer(page)), default=-1)
+        return last_end[name] >= place
+
+    for m in TAG.finditer(page):
         if silent_until is None and m.start() > at:
             piece = page[at : m.start()]
             if "&" in piece:
                 piece = entities.unescape(piece)
             pieces.append(piece)
-            if links:
+            if tags.names["a"]:
                 linked += len(piece)
         name = m[2]
         if name is None:
@@ -104,22 +153,19 @@ def blocks_of(page: str) -> list[Block]:
                 silent_until, at = None, m.end()
             elif silent_until in ("head", "title", "svg", "math") and name == "body" and not m[1]:
                 silent_until, at = None, m.end()
-                stack.append((name, tag_features(name, m[3])))
+                tags.push(name, tag_features(name, m[3]))
             continue
         at = m.end()
         if m[1]:
             if name not in INLINE:
                 close()
-            for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            links = sum(t == "a" for t, _ in stack[-8:])
+            tags.end(name)
             continue
         if name in SILENT:
             if name not in ("head",):
                 close()
-            silent_until = name if not m[3].endswith("/") else None
+            if not m[3].endswith("/") and (name in RAW or ends_after(name, at)):
+                silent_until = name
             continue
         if name == "br" or name == "hr":
             pieces.append(" ")
@@ -127,50 +173,47 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             close()
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-        if len(stack) < 200:
-            stack.append((name, tag_features(name, m[3])))
-        if name == "a":
-            links = 1
+            if name in ENDS_P and tags.tag() == "p":
+                tags.end("p")
+        tags.push(name, tag_features(name, m[3]))
     if silent_until is None and at < len(page):
-        piece = page[at:]
-        pieces.append(entities.unescape(piece))
+        pieces.append(entities.unescape(page[at:]))
+        if tags.names["a"]:
+            linked += len(pieces[-1])
     close()
     return out
 
 
-#: Words of a block that count for its vector (its text is kept whole): of longer ones, this many from evenly spread places.
-VECTOR_WORDS = 64
+#: Blocks of more words are counted by bucket first, so that a page's vectors stay small; all words count, each as often as it stands.
+COUNTED_WORDS = 64
 
 
-def vectors(page: list[Block], words: Words) -> tuple[list[int], list[int], list[int], list[int], np.ndarray]:
-    """Path features, word features (both with their block's number), and counts."""
-    paths, of_path, marks, of_word = [], [], [], []
+def vectors(page: list[Block], words: Words) -> tuple[list[int], list[int], list[int], list[int], list[int], np.ndarray]:
+    """Path features, word features (both with their block's number; words with their number of times), and counts."""
+    paths, of_path, marks, of_word, times = [], [], [], [], []
     extra = np.zeros((len(page), EXTRA), np.float32)
     for k, b in enumerate(page):
         own = b.text.split(" ")
-        if len(own) > VECTOR_WORDS:
-            seen = own[:: -(-len(own) // VECTOR_WORDS)]
-        else:
-            seen = own
         paths += b.path
         of_path += [k] * len(b.path)
-        marks += map(words.__getitem__, seen)
+        if len(own) > COUNTED_WORDS:
+            many = np.bincount(np.fromiter(map(words.__getitem__, own), np.int64, len(own)), minlength=WORD_BUCKETS)
+            seen = np.flatnonzero(many)
+            times += many[seen].tolist()
+            seen = seen.tolist()
+        else:
+            seen = list(map(words.__getitem__, own))
+            times += [1] * len(own)
+        marks += seen
         of_word += [k] * len(seen)
         n = len(b.text)
         extra[k] = (np.log1p(len(own)) / 5, b.linked / max(n, 1), b.text[-1] in ".!?:;\"”", n / max(len(own), 1) / 10, k / max(len(page), 1), min(len(page), 60) / 60)
-    return paths, of_path, marks, of_word, extra
+    return paths, of_path, marks, of_word, times, extra
 
 
-def _mean(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
+def _mean(table: np.ndarray, index: np.ndarray, rows: np.ndarray, n: int, count: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
     out = np.zeros((n, table.shape[1]), np.float32)
-    np.add.at(out, rows, table[index])
+    np.add.at(out, rows, table[index] if times is None else table[index] * times[:, None])
     return out / count[:, None]
 
 
@@ -188,24 +231,26 @@ class Labeller:
     def inputs(self, pages: list[list[Block]], words: Words) -> dict:
         sizes = np.array([len(p) for p in pages])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        cols: list[list[int]] = [[], [], [], []]
+        cols: list[list[int]] = [[], [], [], [], []]
         extra = []
         for base, page in zip(first.tolist(), pages):
-            a, b, c, d, e = vectors(page, words)
+            a, b, c, d, t, e = vectors(page, words)
             cols[0] += a
             cols[1] += [base + x for x in b]
             cols[2] += c
             cols[3] += [base + x for x in d]
+            cols[4] += t
             extra.append(e)
         n = int(sizes.sum())
-        paths, of_path, marks, of_word = (np.array(c, np.int64) for c in cols)
+        paths, of_path, marks, of_word = (np.array(c, np.int64) for c in cols[:4])
+        times = np.array(cols[4], np.float32)
         where = np.concatenate([np.arange(s) for s in sizes]) if n else np.zeros(0, np.int64)
-        return {"sizes": sizes, "n": n, "paths": paths, "of_path": of_path, "marks": marks, "of_word": of_word, "extra": np.concatenate(extra) if n else np.zeros((0, EXTRA), np.float32), "row": np.repeat(np.arange(len(pages)), sizes), "time": where, "back": np.repeat(sizes, sizes) - 1 - where, "n_path": np.maximum(np.bincount(of_path, minlength=n), 1).astype(np.float32) if n else np.ones(0, np.float32), "n_word": np.maximum(np.bincount(of_word, minlength=n), 1).astype(np.float32) if n else np.ones(0, np.float32)}
+        return {"sizes": sizes, "n": n, "paths": paths, "of_path": of_path, "marks": marks, "of_word": of_word, "times": times, "extra": np.concatenate(extra) if n else np.zeros((0, EXTRA), np.float32), "row": np.repeat(np.arange(len(pages)), sizes), "time": where, "back": np.repeat(sizes, sizes) - 1 - where, "n_path": np.maximum(np.bincount(of_path, minlength=n), 1).astype(np.float32) if n else np.ones(0, np.float32), "n_word": np.maximum(np.bincount(of_word, times, minlength=n), 1).astype(np.float32) if n else np.ones(0, np.float32)}
 
     def forward(self, x: dict, keep: bool = False) -> np.ndarray:
         """Logits of all blocks of a batch."""
         p, n, wide = self.p, x["n"], int(x["sizes"].max(initial=0))
-        flat = np.concatenate([_mean(p["path"], x["paths"], x["of_path"], n, x["n_path"] ** 0.5), _mean(p["word"], x["marks"], x["of_word"], n, x["n_word"]), x["extra"]], 1)
+        flat = np.concatenate([_mean(p["path"], x["paths"], x["of_path"], n, x["n_path"] ** 0.5), _mean(p["word"], x["marks"], x["of_word"], n, x["n_word"], x["times"]), x["extra"]], 1)
         states = np.zeros((n, 2 * HIDDEN), np.float32)
         x["tape"] = {}
         for k, (d, t) in enumerate((("f", x["time"]), ("b", x["back"]))):
@@ -257,7 +302,7 @@ class Labeller:
             grad[f"b{d}"] = dz_all.sum((0, 1))
             d_flat += (dz_all @ w[:size].T)[t, x["row"]]
         np.add.at(grad["path"], x["paths"], (d_flat[:, :PATH_DIM] / (x["n_path"] ** 0.5)[:, None])[x["of_path"]])
-        np.add.at(grad["word"], x["marks"], (d_flat[:, PATH_DIM : PATH_DIM + WORD_DIM] / x["n_word"][:, None])[x["of_word"]])
+        np.add.at(grad["word"], x["marks"], (d_flat[:, PATH_DIM : PATH_DIM + WORD_DIM] / x["n_word"][:, None])[x["of_word"]] * x["times"][:, None])
         return grad
 
 

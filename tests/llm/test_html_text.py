@@ -19,6 +19,25 @@ def test_blocks():
     assert h.blocks_of("<p " * 20000 + "<" * 20000) is not None and len(h.blocks_of("<div>x" * 5000)) == 5000
 
 
+def test_every_word_and_tag_of_a_block_counts():
+    words, text = h.Words(), [f"w{i}" for i in range(500)]
+    table = lambda own: h._mean(np.eye(h.WORD_BUCKETS, dtype=np.float32), x["marks"], x["of_word"], x["n"], x["n_word"], x["times"]) if (x := h.Labeller(1).inputs([h.blocks_of(f"<p>{' '.join(own)}")], words)) else None
+    want = np.bincount([words[w] for w in text], minlength=h.WORD_BUCKETS) / 500
+    assert np.allclose(table(text)[0], want, atol=1e-7)
+    deep = h.blocks_of("<div class=outermost>" + "<div>" * 300 + "<section class=inner><p>x</p></section>" + "<b>" * 50 + "y" + "</div>" * 301 + "z")
+    assert [b.text for b in deep] == ["x", "y", "z"] and all({h.path_feature("outermost"), h.path_feature("<div>")} <= set(b.path) for b in deep[:2])
+    assert h.path_feature("inner") in deep[0].path and h.path_feature("inner") not in deep[1].path and deep[2].path == ()
+    far = h.blocks_of("<p>" + "<i>" * 30 + "a<div>b</div><a>" + "<i>" * 20 + "c")  # the paragraph ends at the div, a link goes on
+    assert h.path_feature("<p>") not in far[1].path and far[1].text == "b" and far[2].linked == 1 and h.blocks_of("<a>" + "<i>" * 20 + "c<br>d</a>")[0].linked == 2
+
+
+def test_unclosed_silent_tags_hide_nothing():
+    for tag in ("object", "select", "noscript", "svg", "head", "canvas"):
+        assert [b.text for b in h.blocks_of(f"<p>a</p><{tag}><p>b</p><p>c</p>")] == ["a", "b", "c"], tag
+        assert [b.text for b in h.blocks_of(f"<p>a</p><{tag}>no</{tag}><p>b</p><{tag}>yes")] == ["a", "b", "yes"], tag
+    assert [b.text for b in h.blocks_of("<p>a</p><script><p>b</p>")] == ["a"]
+
+
 def test_gradient():
     g = np.random.default_rng(0)
     net, words = h.Labeller(1), h.Words()
